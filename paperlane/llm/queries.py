@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlane.llm import simhash
+from paperlane.llm import simhash, substring
 
 ORACLE: dict[str, str] = {}
 
@@ -20,6 +20,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated passages, and the documents where the passages stay."""
+    return substring.dedup(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
