@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlane.llm import simhash, substring
+from paperlane.llm import decontaminate, packing, simhash, substring
 
 ORACLE: dict[str, str] = {}
 
@@ -25,7 +25,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_documents(spark, sf_dir))
 
 
+def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items, with the best overlap of each pair."""
+    return decontaminate.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin and slot of every document or piece of one."""
+    return packing.placed(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_spaced_seed_decontamination": op5_spaced_seed_decontamination,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
