@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlane.llm import decontaminate, packing, simhash, substring
+from paperlane.llm import decontaminate, packing, quality, simhash, substring
 
 ORACLE: dict[str, str] = {}
 
@@ -35,9 +35,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placed(_documents(spark, sf_dir))
 
 
+def op8_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts, with their score."""
+    kept = quality.accepted(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return kept.select("doc_id", F.col("__pl_score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_spaced_seed_decontamination": op5_spaced_seed_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_quadratic_quality": op8_quadratic_quality,
     "op9_substring_dedup": op9_substring_dedup,
 }

@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from paperlane.llm import arrays as A
 from paperlane.llm.graph import components
+from paperlane.llm.stored import settle
 
 RADIUS = 28
 TABLES = 32
@@ -298,18 +299,16 @@ def _join_between_centres(code: np.ndarray, order: np.ndarray, centre_of: np.nda
                 forest.join(order[np.full(len(hit), i)], order[hit])
 
 
-def _bands(hi: Column, lo: Column, tables: int, bits: int) -> Column:
-    """Shard numbers: for each table, ``bits`` fixed random positions of the code."""
+def _shards(hi: Column, lo: Column, tables: int, bits: int) -> Column:
+    """The shard of each table: a hash of the table's number and of ``bits`` fixed random positions of the code."""
     rng = np.random.RandomState(71)
     out = []
-    for _ in range(tables):
+    for t in range(tables):
         spots = rng.choice(128, bits, replace=False)
-        key = F.lit(0)
-        for k, s in enumerate(spots.tolist()):
-            word = hi if s < 64 else lo
-            bit = F.shiftrightunsigned(word, s % 64).bitwiseAND(F.lit(1)).cast("int")
-            key = key.bitwiseOR(F.shiftleft(bit, k))
-        out.append(key)
+        masks = np.zeros(2, np.uint64)
+        np.bitwise_or.at(masks, spots // 64, np.uint64(1) << (spots % 64).astype(np.uint64))
+        own = [word.bitwiseAND(F.lit(int(m)).cast("long")) for word, m in zip((hi, lo), masks.view(np.int64), strict=True)]
+        out.append(F.xxhash64(F.lit(t), *own))
     return F.array(*out)
 
 
@@ -345,16 +344,13 @@ def edges(nodes: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: in
         if kept and (done := flush(kept)) is not None:
             yield done
 
-    keyed = nodes.select("id", "hi", "lo", F.posexplode(_bands(F.col("hi"), F.col("lo"), tables, bits)).alias("t", "k"))
-    keyed = keyed.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("k")).alias("shard"), "id", "hi", "lo")
+    keyed = nodes.select(F.explode(_shards(F.col("hi"), F.col("lo"), tables, bits)).alias("shard"), "id", "hi", "lo")
     return keyed.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: int = BAND_BITS, complete: int = COMPLETE) -> DataFrame:
     """One row for each document that is not the kept one of its group: (doc_id, kept_doc_id)."""
     spark = docs.sparkSession
-    from paperlane.llm.stored import settle
-
     sig = settle(spark, signatures(docs), "signatures")
     nodes = settle(spark, sig.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "nodes")
     found = edges(nodes, radius, tables, bits, complete)
@@ -365,10 +361,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES,
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
     """``docs`` with one row for each near-duplicate group; rows with a null ``doc_id`` or without a word all stay."""
-    from pyspark.sql import Window as W
-
-    gone = near_duplicates(docs, **how).select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    ids = F.col("doc_id").cast("long")
+    gone = near_duplicates(docs, **how).select(F.col("doc_id").alias("__pl_id"))
+    worded = docs.filter("doc_id is not null and text is not null").select(ids.alias("__pl_id"), F.regexp_like("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).alias("__pl_word")).filter("__pl_word")
+    twice = settle(docs.sparkSession, worded.groupBy("__pl_id").count().filter("count > 1").select("__pl_id"), "twice")
+    if twice.isEmpty():
+        return docs.join(gone, ids == F.col("__pl_id"), "left_anti")
+    once = docs.join(gone.unionByName(twice).distinct(), ids == F.col("__pl_id"), "left_anti")
+    again = docs.join(twice.join(gone, "__pl_id", "left_anti"), ids == F.col("__pl_id"), "left_semi")
     order = W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text"))
-    again = left.withColumn("__n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order)))
-    return again.filter("__n = 1").drop("__n")
+    return once.unionByName(again.withColumn("__pl_n", F.row_number().over(order)).filter("__pl_n = 1").drop("__pl_n"))
