@@ -1,25 +1,57 @@
-"""A training-text pipeline over ``documents``: its stages, in order."""
+"""A training-text pipeline over ``documents``: its stages, in order.
+
+Each stage takes what the one before kept, whole, and returns the columns of
+``documents``; the last returns where each document is placed.  SQL expresses
+none of the five methods, so ``tests/llm/test_pipeline.py`` holds them against
+brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlane.llm import simhash
+from paperlane.llm import decontaminate, packing, quality, simhash, substring
 from paperlane.llm.stored import settle
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("__pl_score")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated passages are cut from the texts; documents of which nothing is left go."""
+    return substring.without_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin and slot of every document that is left, or piece of one."""
+    return packing.placed(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's result over ``documents``; what each stage kept is written and read again."""
+    """The last stage's result over ``documents``; what each stage before kept is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = settle(spark, stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
