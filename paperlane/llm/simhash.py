@@ -35,9 +35,9 @@ from paperlane.llm.graph import components
 from paperlane.llm.stored import settle
 
 RADIUS = 28
-TABLES = 32
+TABLES = 48
 BAND_BITS = 12
-COMPLETE = 512
+COMPLETE = 8192  # numpy compares that many codes with one in less time than a walk takes
 DEGREE = 12
 BEAM = 32
 WAVE = 256
@@ -114,7 +114,17 @@ class Forest:
             x = up[x]
         return x
 
+    def labels(self) -> np.ndarray:
+        up = np.array(self.up, np.int64)
+        while not np.array_equal(up, above := up[up]):
+            up = above
+        return up
+
     def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        if len(left) > 512:  # of dense groups nearly all pairs are joined already
+            label = self.labels()
+            apart = label[left] != label[right]
+            left, right = left[apart], right[apart]
         for x, y in zip(left.tolist(), right.tolist(), strict=True):
             p, q = self.root(x), self.root(y)
             if p != q:
@@ -127,12 +137,14 @@ class Forest:
 def complete_edges(code: np.ndarray, radius: int, forest: Forest, base: int = 0) -> None:
     """Join all pairs of ``code`` within ``radius``, by blocks of the distance matrix."""
     n = len(code)
-    step = max(1, (1 << 18) // max(n, 1))
-    for a in range(0, n, step):
+    most, a, step = max(1, (1 << 18) // max(n, 1)), 0, 1
+    while a < n:
         d = distance(code[a : a + step, None, :], code[None, a:, :])
         x, y = np.nonzero(d <= radius)
         keep = y > x
         forest.join(base + a + x[keep], base + a + y[keep])
+        a += step
+        step = min(most, 2 * step)
 
 
 class SmallWorld:
@@ -292,7 +304,9 @@ def _join_between_centres(code: np.ndarray, order: np.ndarray, centre_of: np.nda
     for a in range(0, len(code), step) if len(crowded) else ():
         d = distance(code[a : a + step, None, :], code[centres[crowded]][None])
         x, y = np.nonzero(d <= radius + reach[crowded][None])
-        for i, c in zip((a + x).tolist(), crowded[y].tolist(), strict=True):
+        label = forest.labels()
+        apart = label[order[a + x]] != label[order[centres[crowded[y]]]]
+        for i, c in zip((a + x[apart]).tolist(), crowded[y[apart]].tolist(), strict=True):
             if forest.root(int(order[i])) != forest.root(int(order[centres[c]])):
                 others = members[start[c] : start[c + 1]]
                 hit = others[distance(code[i], code[others]) <= radius]

