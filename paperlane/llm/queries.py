@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlane.llm import decontaminate, packing, quality, simhash, substring
+from paperlane.llm import decontaminate, packing, quality, repetition, sharding, simhash, substring
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_hash_tree_sharding": sharding.oracle("documents")}
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_documents(spark, sf_dir))
 
 
+def op1_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents within the limits of repetition, with their covered fraction and longest repeat."""
+    kept = repetition.accepted(_documents(spark, sf_dir))
+    return kept.select("doc_id", F.col("__pl_rep.fraction").alias("repeated_fraction"), F.col("__pl_rep.longest").alias("longest_repeat"))
+
+
 def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap benchmark items, with the best overlap of each pair."""
     return decontaminate.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -41,10 +47,17 @@ def op8_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__pl_score").alias("score"))
 
 
+def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region, rack and shard of every document."""
+    return sharding.assign(_documents(spark, sf_dir).select("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_repetition": op1_suffix_array_repetition,
     "op5_spaced_seed_decontamination": op5_spaced_seed_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quadratic_quality": op8_quadratic_quality,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
