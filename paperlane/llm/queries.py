@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlane.llm import decontaminate, packing, quality, repetition, sharding, simhash, substring
+from paperlane.llm import decontaminate, packing, quality, repetition, sharding, simhash, store, substring
 
 ORACLE: dict[str, str] = {"op10_hash_tree_sharding": sharding.oracle("documents")}
 
@@ -31,6 +31,11 @@ def op1_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__pl_rep.fraction").alias("repeated_fraction"), F.col("__pl_rep.longest").alias("longest_repeat"))
 
 
+def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object of the content-addressed store of the documents' token ids."""
+    return store.build(_documents(spark, sf_dir))
+
+
 def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap benchmark items, with the best overlap of each pair."""
     return decontaminate.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -54,6 +59,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_repetition": op1_suffix_array_repetition,
+    "op2_content_store": op2_content_store,
     "op5_spaced_seed_decontamination": op5_spaced_seed_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,

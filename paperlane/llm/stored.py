@@ -28,8 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def settle(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read from there."""
+def settle(spark: SparkSession, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, in a folder for each value of ``by``, and read from there."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
