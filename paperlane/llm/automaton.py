@@ -1,0 +1,282 @@
+"""Language-model scores from a weighted backoff automaton.
+
+The model is of order ``ORDER`` over the UTF-8 bytes of lower-cased texts, so it
+has no unknown words and its size follows the languages' spelling and not the
+length of the corpus.  Counts of all n-grams of all documents are smoothed by
+interpolated absolute discounting; n-grams of three bytes or more that occur
+less than ``CUTOFF`` times are left to backoff:
+
+    p(w | h) = (c(hw) - D) / c(h) + gamma(h) p(w | h')     hw kept
+    p(w | h) =                      gamma(h) p(w | h')     otherwise
+
+with h' one byte shorter, gamma(h) the mass that is left, and 1/256 below.
+A state is a kept n-gram of up to ``ORDER - 1`` bytes.  It has an arc for each
+kept continuation, with its log-probability and next state, and a failure arc
+to the longest proper suffix with weight log gamma.  A text is read once from
+left to right: the traversal carries the state, takes failure arcs until a
+byte has an arc, and adds up the weights.  Many texts move in lock-step, and a
+long one in lanes that start ``ORDER - 1`` bytes early, after which the state
+no longer depends on where reading began.
+
+Every task counts its own documents; the sums by n-gram are one shuffle.  A
+model of up to ``SEND_BYTES`` is sent to all tasks.  Beyond that documents are
+gathered in buckets of about ``BUCKET_BYTES``, and each bucket gets the part
+of the automaton that its own n-grams reach; scores are the same.
+
+Defined results: a null text has a null score, an empty one scores 0 over 0
+bytes with null bits.  Every row counts and is scored by itself, also one that
+repeats a ``doc_id`` or has none.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
+
+from paperlane.llm import arrays as A
+from paperlane.llm.stored import settle
+
+ORDER = 5
+DISCOUNT = 0.75
+CUTOFF = 2
+SYMBOLS = 256
+LANE = 2048
+SEND_BYTES = 128 << 20
+ROW_BYTES = 24
+BUCKET_BYTES = 64 << 20
+_VALUE = 8 * ORDER  # a gram: its length above, its bytes in the low bits
+
+
+def top_grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte the longest gram that ends there, of ``ORDER`` bytes but at the beginning of a text."""
+    value = raw.astype(np.int64)
+    for back in range(1, min(ORDER, len(raw))):
+        value[back:] |= raw[:-back].astype(np.int64) << (8 * back)
+    local = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
+    length = np.minimum(local + 1, ORDER)
+    return (length << _VALUE) | (value & ((np.int64(1) << (8 * length)) - 1))
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    if not len(key):
+        return key, key
+    count, order = np.concatenate(counts), np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[at], np.add.reduceat(count, at)
+
+
+def with_suffixes(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of all orders from the longest ones that end at each byte."""
+    keys, counts = [key], [count]
+    for k in range(ORDER - 1, 0, -1):
+        longer = key >> _VALUE > k
+        short, n = _summed([(np.int64(k) << _VALUE) | (key[longer] & ((1 << (8 * k)) - 1))], [count[longer]])
+        keys.append(short)
+        counts.append(n)
+    return _summed(keys, counts)
+
+
+def _folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return A.utf8(pc.utf8_lower(texts.cast(pa.large_string())))
+
+
+def count_grams(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of all orders, summed over as many batches as have ``most`` distinct grams."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        key, n = with_suffixes(*_summed(keys, counts))
+        keys.clear()
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["gram", "n"])
+
+    for batch in A.slices(batches, "text", 8 << 20):
+        key, n = np.unique(top_grams(*_folded(batch.column("text"))), return_counts=True)
+        keys.append(key)
+        counts.append(n)
+        if sum(map(len, keys)) > most:
+            key, n = _summed(keys, counts)
+            keys[:], counts[:] = [key], [n]
+            if len(key) > most // 2:
+                yield flush()
+    if keys:
+        yield flush()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _length(gram: Column) -> Column:
+    return F.shiftright(gram, _VALUE)
+
+
+def _suffix(gram: Column) -> Column:
+    k = _length(gram) - 1
+    return F.shiftleft(k, _VALUE).bitwiseOR(gram.bitwiseAND(F.expr(f"shiftleft(1L, cast(8 * (shiftright(gram, {_VALUE}) - 1) as int)) - 1")))
+
+
+def _history(gram: Column) -> Column:
+    return F.shiftleft(_length(gram) - 1, _VALUE).bitwiseOR(F.shiftright(gram.bitwiseAND(F.lit((1 << _VALUE) - 1)), 8))
+
+
+def fit(docs: DataFrame) -> DataFrame:
+    """(gram, logp, bow): kept grams with their log-probability and the weight of their failure arc; gram 0 is the empty history."""
+    spark = docs.sparkSession
+    gram = F.col("gram")
+    totals = settle(spark, _texts(docs).filter("text is not null").select("text").mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    keep = (_length(gram) <= 2) | (F.col("n") >= CUTOFF)
+    known = totals.withColumn("history", _history(gram)).withColumn("kept", keep)
+    mass = F.sum(F.when(F.col("kept"), F.col("n") - DISCOUNT).otherwise(0.0))
+    history = settle(spark, known.groupBy("history").agg(F.sum("n").alias("c"), (1 - mass / F.sum("n")).alias("gamma")), "histories")
+    own = known.filter("kept").join(history, "history").select("gram", ((F.col("n") - DISCOUNT) / F.col("c")).alias("own"), "gamma")
+    own = settle(spark, own.withColumn("k", _length(gram)), "own", by="k")
+    level = done = None
+    for k in range(1, ORDER + 1):
+        here = own.filter(F.col("k") == k)
+        if k == 1:
+            p = here.select("gram", (F.col("own") + F.col("gamma") / SYMBOLS).alias("p"))
+        else:
+            lower = level.select(gram.alias("suffix"), F.col("p").alias("below"))
+            p = here.withColumn("suffix", _suffix(gram)).join(lower, "suffix").select("gram", (F.col("own") + F.col("gamma") * F.col("below")).alias("p"))
+        level = settle(spark, p, f"order{k}")
+        done = level if done is None else done.unionByName(level)
+    bow = history.select(F.col("history").alias("gram"), F.ln("gamma").alias("bow"))
+    root = bow.filter("gram = 0").select("gram", F.lit(0.0).alias("logp"), "bow")
+    rest = done.join(bow, "gram", "left").select("gram", F.ln("p").alias("logp"), F.coalesce("bow", F.lit(0.0)).alias("bow"))
+    return settle(spark, root.unionByName(rest), "model")
+
+
+class Automaton:
+    """States, arcs and failure arcs as arrays; arcs of a state are found by rank in a bitmap of its bytes."""
+
+    def __init__(self, gram: np.ndarray, logp: np.ndarray, bow: np.ndarray) -> None:
+        order = np.argsort(gram)
+        gram, logp, bow = gram[order], logp[order], bow[order]
+        self.root_bow = float(bow[0]) if len(gram) and gram[0] == 0 else 0.0
+        arcs = gram > 0
+        gram, self.logp, bow = gram[arcs], logp[arcs], bow[arcs]
+        k = gram >> _VALUE
+        value = gram & ((np.int64(1) << _VALUE) - 1)
+        inner = k < ORDER
+        states = gram[inner]
+        number = lambda keys: np.where(keys >> _VALUE > 0, np.searchsorted(states, keys) + 1, 0)
+        suffix = ((k - 1) << _VALUE) | (value & ((np.int64(1) << (8 * (k - 1))) - 1))
+        self.fail = np.concatenate([[0], number(suffix[inner])]).astype(np.int32)
+        self.bow = np.concatenate([[self.root_bow], bow[inner]])
+        self.next = number(np.where(inner, gram, suffix)).astype(np.int32)
+        source = number(((k - 1) << _VALUE) | (value >> 8))
+        label = value & 255
+        self.bits = np.zeros((len(states) + 1, 4), np.uint64)
+        np.bitwise_or.at(self.bits, (source, label >> 6), np.uint64(1) << (label & 63).astype(np.uint64))
+        ones = np.bitwise_count(self.bits).astype(np.int64)
+        before = np.cumsum(ones, axis=1) - ones
+        first = np.searchsorted(source, np.arange(len(states) + 1))  # grams are in the order of their histories
+        self.base = first[:, None] + before
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and weights of one byte for each reader."""
+        weight, after = np.zeros(len(state)), np.zeros(len(state), np.int32)
+        word, bit = symbol >> 6, (symbol & 63).astype(np.uint64)
+        at = None
+        while True:
+            bits = self.bits[state, word]
+            has = (bits >> bit & np.uint64(1)).astype(bool)
+            if at is None and has.all():
+                arc = self.base[state, word] + np.bitwise_count(bits & ((np.uint64(1) << bit) - np.uint64(1)))
+                return self.next[arc], self.logp[arc]
+            index = np.arange(len(state)) if at is None else at
+            hit = index[has]
+            arc = self.base[state[has], word[has]] + np.bitwise_count(bits[has] & ((np.uint64(1) << bit[has]) - np.uint64(1)))
+            weight[hit] += self.logp[arc]
+            after[hit] = self.next[arc]
+            left = ~has
+            index, state, word, bit = index[left], state[left], word[left], bit[left]
+            weight[index] += self.bow[state]
+            end = state == 0  # no arc at the empty history either: the uniform distribution
+            weight[index[end]] -= np.log(SYMBOLS)
+            at, state, word, bit = index[~end], self.fail[state[~end]], word[~end], bit[~end]
+            if not len(at):
+                return after, weight
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability and number of bytes of each text, in one traversal."""
+        raw, offsets = _folded(texts)
+        size = np.diff(offsets)
+        lanes = -(-size // LANE)
+        row = np.repeat(np.arange(len(size)), lanes)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        own = offsets[row] + nth * LANE
+        stop = np.minimum(own + LANE, offsets[row + 1])
+        begin = np.maximum(own - (ORDER - 1), offsets[row])
+        order = np.argsort(begin - stop, kind="stable")
+        begin, stop, own, row = begin[order], stop[order], own[order], row[order]
+        length, lead = stop - begin, own - begin
+        total, state = np.zeros(len(begin)), np.zeros(len(begin), np.int32)
+        symbols = raw.astype(np.int64)
+        for t in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -t))
+            state[:n], weight = self.step(state[:n], symbols[begin[:n] + t])
+            total[:n] += weight if t >= ORDER - 1 else np.where(lead[:n] <= t, weight, 0.0)
+        return np.bincount(row, total, len(size)).astype(float), size
+
+
+_SCORES = "doc_id long, n_bytes long, logprob double, bits_per_byte double"
+_BUILT: dict[str, Automaton] = {}
+
+
+def _scored(automaton: Automaton, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in A.slices(batches, "text", 8 << 20):
+        none = b.column("text").is_null().to_numpy(zero_copy_only=False)
+        logprob, size = automaton.score(b.column("text"))
+        bits = -logprob / np.log(2) / np.maximum(size, 1)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, mask=none), pa.array(logprob, mask=none), pa.array(bits, mask=none | (size == 0))], ["doc_id", "n_bytes", "logprob", "bits_per_byte"])
+
+
+def score(docs: DataFrame, model: DataFrame, send: int = SEND_BYTES, bucket: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, logprob, bits_per_byte) of every row."""
+    texts = _texts(docs)
+    if ROW_BYTES * model.count() > send:
+        return _by_bucket(texts, model, bucket)
+    name = uuid.uuid4().hex
+    sent = docs.sparkSession.sparkContext.broadcast([c.to_numpy() for c in model.select("gram", "logp", "bow").toArrow().columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _BUILT:  # once for each worker process
+            _BUILT.clear()
+            _BUILT[name] = Automaton(*sent.value)
+        return _scored(_BUILT[name], batches)
+
+    return texts.mapInArrow(run, _SCORES)
+
+
+def _by_bucket(texts: DataFrame, model: DataFrame, bucket: int) -> DataFrame:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keyed = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // bucket)))))
+
+    def reached(table: pa.Table) -> pa.Table:
+        grams = [b.column("gram") for b in count_grams(iter(table.filter(table.column("text").is_valid()).select(["text"]).to_batches()))]
+        gram = np.unique(np.concatenate([g.to_numpy() for g in grams])) if grams else np.zeros(0, np.int64)
+        gram = np.concatenate([[0], gram])
+        return pa.table({"bucket": pa.array(np.full(len(gram), table.column("bucket")[0].as_py())), "gram": pa.array(gram)})
+
+    def run(rows: pa.Table, part: pa.Table) -> pa.Table:
+        automaton = Automaton(*(part.column(c).to_numpy() for c in ("gram", "logp", "bow")))
+        found = list(_scored(automaton, iter(rows.select(["doc_id", "text"]).to_batches())))
+        return pa.Table.from_batches(found)
+
+    part = keyed.groupBy("bucket").applyInArrow(reached, "bucket long, gram long").join(model, "gram").select("bucket", "gram", "logp", "bow")
+    return keyed.groupBy("bucket").cogroup(part.groupBy("bucket")).applyInArrow(run, _SCORES)
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """Every document scored by the model of them all."""
+    return score(docs, fit(docs))

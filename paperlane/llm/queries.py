@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlane.llm import decontaminate, packing, quality, repetition, sharding, simhash, store, styletree, substring
+from paperlane.llm import automaton, decontaminate, packing, quality, repetition, sharding, simhash, store, styletree, substring
 
 ORACLE: dict[str, str] = {"op10_hash_tree_sharding": sharding.oracle("documents")}
 
@@ -36,6 +36,11 @@ def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.build(_documents(spark, sf_dir))
 
 
+def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability and bits per byte of every document under the model of them all."""
+    return automaton.scores(_documents(spark, sf_dir))
+
+
 def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every page without the branches that its site repeats."""
     return styletree.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -65,6 +70,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_repetition": op1_suffix_array_repetition,
     "op2_content_store": op2_content_store,
+    "op3_backoff_automaton": op3_backoff_automaton,
     "op4_site_style_tree": op4_site_style_tree,
     "op5_spaced_seed_decontamination": op5_spaced_seed_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,

@@ -1,0 +1,82 @@
+import math
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+
+from paperlane.llm import automaton as M
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+class Brute:
+    """The definition, with dictionaries of byte strings and recursion."""
+
+    def __init__(self, texts):
+        self.n = Counter()
+        for t in texts:
+            b = t.lower().encode()
+            for k in range(1, M.ORDER + 1):
+                self.n.update(b[i : i + k] for i in range(len(b) - k + 1))
+        self.kept = {g for g, n in self.n.items() if len(g) <= 2 or n >= M.CUTOFF}
+        self.c, self.mass = Counter(), Counter()
+        for g, n in self.n.items():
+            self.c[g[:-1]] += n
+            if g in self.kept:
+                self.mass[g[:-1]] += n - M.DISCOUNT
+
+    def p(self, h, w):
+        if h and (h not in self.kept or h not in self.c):
+            return self.p(h[1:], w)
+        gamma = 1 - self.mass[h] / self.c[h]
+        below = self.p(h[1:], w) if h else 1 / M.SYMBOLS
+        own = (self.n[h + w] - M.DISCOUNT) / self.c[h] if h + w in self.kept else 0
+        return own + gamma * below
+
+    def score(self, text):
+        b = text.lower().encode()
+        return sum(math.log(self.p(b[max(0, i - M.ORDER + 1) : i], b[i : i + 1])) for i in range(len(b)))
+
+
+def test_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 1500")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    brute = Brute(rows.values())
+    for h in (b"", b"e", b"th", b"the ", b"zzzz"):
+        assert sum(brute.p(h, bytes([w])) for w in range(256)) == pytest.approx(1)
+    model = M.fit(docs)
+    assert {r.gram for r in model.collect()} == {0} | {(len(g) << M._VALUE) | int.from_bytes(g, "big") for g in brute.kept}
+    other = spark.createDataFrame([(-1, "Words the model has never seen: xylophone & qat, ñandú 東京", "", "", 0), (-2, "", "", "", 0)], DOCS)
+    for send in (M.SEND_BYTES, 0):
+        got = {r.doc_id: r for r in M.score(docs.unionByName(other), model, send=send, bucket=20000).collect()}
+        assert len(got) == len(rows) + 2
+        for doc_id, text in [*rows.items(), (-1, other.first().text), (-2, "")]:
+            assert got[doc_id].logprob == pytest.approx(brute.score(text), abs=1e-6)
+            assert got[doc_id].n_bytes == len(text.lower().encode())
+
+
+def test_lanes_do_not_change_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a long text in many lanes, é and so on; " * 300, "en", "s", 1)], DOCS)
+    automaton = M.Automaton(*(c.to_numpy() for c in M.fit(docs).select("gram", "logp", "bow").toArrow().columns))
+    texts = pa.array(["another long text in lanes. é " * 250, "short", None])
+    want = automaton.score(texts)[0]
+    for lane in (7, 100, 10**6):
+        monkeypatch.setattr(M, "LANE", lane)
+        assert automaton.score(texts)[0] == pytest.approx(want)
+
+
+def test_edges_of_data(spark):
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "Orre " * 40000, "en", "a", 1), (None, "some text", None, None, None), (4, "some text", "en", "a", 1), (4, "some text", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for d in (docs, docs.selectExpr("*", "1 AS gram", "2 AS n", "3 AS bucket", "4 AS logp")):
+        got = [(r.doc_id, r.n_bytes, r.logprob) for r in M.scores(d).collect()]
+        by = {g[0]: g for g in got}
+        assert len(got) == 6 and by[1] == (1, None, None) and by[2] == (2, 0, 0.0) and by[None][2] == by[4][2] < 0 and by[3][1] == 200000
+    model = M.fit(docs)
+    sent, joined = (sorted(map(str, M.score(docs, model, send=s).collect())) for s in (M.SEND_BYTES, 0))
+    assert sent == joined
+    empty = M.fit(docs.limit(0))
+    assert M.scores(docs.limit(0)).count() == 0 and M.score(docs.limit(0), empty, send=-1).count() == 0
+    unseen = {r.doc_id: r.logprob for r in M.score(docs, empty).collect()}
+    assert unseen[4] == pytest.approx(-9 * math.log(256))
