@@ -132,7 +132,7 @@ def _number(raw: Column, native: Column | None, options: TabularOptions, source:
         value = c["number"]
         if not integer:
             return extracted("number", value, F.lit(CONFIRMED), c["problem"], source)
-        whole = F.coalesce(value == F.floor(value), F.lit(False)) & (F.abs(value) < 1e38)
+        whole = F.coalesce(value % 1 == 0, F.lit(False)) & (F.abs(value) < 1e38)
         return (
             F.when(whole, confirmed("integer", value.try_cast("decimal(38,0)"), source))
             .when(value.isNotNull(), review("number", value, F.lit("fraction_in_integer"), source))
