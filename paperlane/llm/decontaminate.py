@@ -82,11 +82,11 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
 
 
 def _bitmap(tests: DataFrame) -> np.ndarray:
-    """One bit for each value of the low BITMAP_BITS of a test hash, gathered as at most 2**BITMAP_BITS / 64 words."""
-    low = F.col("hash").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    slot = F.shiftright(low, 6).alias("slot")
-    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")
-    found = tests.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    """A bit for each of two parts of BITMAP_BITS of a test hash, gathered as at most 2**BITMAP_BITS / 64 words."""
+    part = F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", BITMAP_BITS))).alias("part")
+    slot = F.shiftright(F.col("part").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)), 6).alias("slot")
+    bit = F.expr("shiftleft(1L, cast(part & 63 as int))").alias("bit")
+    found = tests.select(part).select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     if found.num_rows:
         words[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
@@ -107,8 +107,10 @@ def document_seeds(docs: DataFrame, tests: DataFrame) -> DataFrame:
             for number, mask in enumerate(MASKS):
                 for n in [None, *(x for x in lengths if x < len(mask))]:
                     at, value = seeds(w, mask, number, n)
-                    short = value & low
-                    pick = np.flatnonzero(bits[(short >> np.uint64(6)).astype(np.int64)] >> (short & np.uint64(63)) & np.uint64(1))
+                    pick = np.arange(len(value))
+                    for shift in (0, BITMAP_BITS):
+                        short = (value[pick] >> np.uint64(shift)) & low
+                        pick = pick[(bits[(short >> np.uint64(6)).astype(np.int64)] >> (short & np.uint64(63)) & np.uint64(1)).astype(bool)]
                     if not len(pick):
                         continue
                     at, value = at[pick], value[pick]
