@@ -1,26 +1,34 @@
-"""Headers are bound to declared columns by alias: an equi-join with uniqueness checks, for any number of files at once."""
+"""Headers are bound to declared columns by alias, with uniqueness checks.
+
+The schema is known when the plan is made, so each table's header is bound by
+array expressions in its own row: no join and no shuffle for any number of files.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from paperlane.config import TableSchema, TabularOptions
 from paperlane.errors import AmbiguousHeader, SchemaMismatch
 from paperlane.functions.text import casefold, collapse, is_blank, normalize, strip
+from paperlane.model import let
 
 
 def split_unit(header: Column, brackets: tuple[tuple[str, str], ...]) -> Column:
     """Struct (label, unit): the unit is a bracket at the end of the header that leaves a label before it."""
-    plain = strip(header)
-    out = F.struct(plain.alias("label"), F.lit(None).cast("string").alias("unit"))
-    for a, b in reversed(brackets):
-        pattern = rf"(?s)^(.+){re.escape(a)}([^{re.escape(a)}]*){re.escape(b)}$"
-        label, unit = strip(F.regexp_extract(plain, pattern, 1)), strip(F.regexp_extract(plain, pattern, 2))
-        out = F.when((label != "") & (unit != ""), F.struct(label.alias("label"), unit.alias("unit"))).otherwise(out)
-    return out
+
+    def of(plain: Column) -> Column:
+        out = F.struct(plain.alias("label"), F.lit(None).cast("string").alias("unit"))
+        for a, b in reversed(brackets):
+            pattern = rf"(?s)^(.+){re.escape(a)}([^{re.escape(a)}]*){re.escape(b)}$"
+            label, unit = strip(F.regexp_extract(plain, pattern, 1)), strip(F.regexp_extract(plain, pattern, 2))
+            out = F.when((label != "") & (unit != ""), F.struct(label.alias("label"), unit.alias("unit"))).otherwise(out)
+        return out
+
+    return let(strip(header), of)
 
 
 def normal_header(label: Column, options: TabularOptions) -> Column:
@@ -36,64 +44,77 @@ def _normal(text: str, options: TabularOptions) -> str:
     return text.casefold() if options.casefold_headers else text
 
 
-def aliases(spark, schema: TableSchema, options: TabularOptions) -> DataFrame:
-    """(key, alias): the declared headers, normalised; as many rows as the schema names."""
-    rows = sorted({(c.key, _normal(h, options)) for c in schema.columns for h in c.headers})
-    return spark.createDataFrame(rows, "key string, alias string")
-
-
-def header_cells(grid: DataFrame, options: TabularOptions) -> DataFrame:
-    """(relative_path, idx, raw, label, unit, normal) of every header cell; null counts as ''."""
-    cells = grid.select("relative_path", F.posexplode("headers").alias("idx", "raw")).withColumn("raw", F.coalesce("raw", F.lit("")))
-    parts = cells.withColumn("p", split_unit(F.col("raw"), options.unit_brackets))
-    return parts.select("relative_path", "idx", "raw", F.col("p.label").alias("label"), F.col("p.unit").alias("unit"), normal_header(F.col("p.label"), options).alias("normal"))
+def header_cells(headers: Column, options: TabularOptions) -> Column:
+    """Array of (idx, raw, unit, normal) over header cells; null counts as ''."""
 
+    def of(raw: Column, idx: Column) -> Column:
+        parts = let(F.coalesce(raw, F.lit("")), lambda r: split_unit(r, options.unit_brackets))
+        return let(parts, lambda p: F.struct(idx.alias("idx"), F.coalesce(raw, F.lit("")).alias("raw"), p["unit"].alias("unit"), normal_header(p["label"], options).alias("normal")))
 
-def matches(cells: DataFrame, schema: TableSchema, options: TabularOptions) -> DataFrame:
-    """(relative_path, key, idx, raw, unit): headers of which the label without unit is an alias."""
-    names = aliases(cells.sparkSession, schema, options)
-    return cells.filter("normal <> ''").join(names, F.col("normal") == F.col("alias")).select("relative_path", "key", "idx", "raw", "unit")
+    return F.transform(headers, of)
 
 
-def unmatched(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """(relative_path, idx, raw): headers that no column uses and that aren't blank."""
-    return cells.filter(~is_blank(F.col("raw"))).join(found, ["relative_path", "idx"], "left_anti").select("relative_path", "idx", "raw")
+def bind(headers: Column, schema: TableSchema, options: TabularOptions) -> Column:
+    """A struct of what a table's headers bind to.
 
-
-def missing_keys(grid: DataFrame, found: DataFrame, schema: TableSchema, required: bool) -> DataFrame:
-    """(relative_path, key): declared columns, required or optional ones, without a header."""
-    keys = [(c.key,) for c in schema.columns if c.required == required]
-    names = grid.sparkSession.createDataFrame(keys, "key string")
-    return grid.select("relative_path").distinct().crossJoin(names).join(found, ["relative_path", "key"], "left_anti")
-
-
-def bind(grid: DataFrame, schema: TableSchema, options: TabularOptions) -> tuple[DataFrame, DataFrame]:
-    """(bound, refused).
-
-    bound: relative_path, columns (key -> index), units (key -> unit) and notes
-    on unmatched headers, missing optional columns and units, in this order.
-    A file with an ambiguous header or without a required column is refused.
+    found (key, idx, raw, unit) of every match; unmatched (idx, raw) of headers
+    that no column uses and that aren't blank; missing, the optional columns
+    without a header; notes on these three in this order; error_class and
+    reason of the first column in the schema's order that has two headers,
+    has one that another column has too, or is required and has none; and,
+    where there is no error, columns (key -> index) and units (key -> unit).
     """
-    cells = header_cells(grid, options)
-    found = matches(cells, schema, options)
-    by_key = found.groupBy("relative_path", "key").agg(F.count("*").alias("n"))
-    by_idx = found.groupBy("relative_path", "idx").agg(F.count("*").alias("n"))
-    double = by_key.filter("n > 1").select("relative_path", F.concat(F.lit("header_twice: "), "key").alias("reason")).unionByName(by_idx.filter("n > 1").select("relative_path", F.concat(F.lit("header_of_two_columns: "), (F.col("idx") + 1).cast("string")).alias("reason")))
-    lacking = missing_keys(grid, found, schema, True).select("relative_path", F.concat(F.lit("required_column_missing: "), "key").alias("reason"))
-    errors = double.withColumn("error_class", F.lit(AmbiguousHeader.__name__)).unionByName(lacking.withColumn("error_class", F.lit(SchemaMismatch.__name__)))
-    refused = errors.groupBy("relative_path").agg(F.min(F.struct("error_class", "reason")).alias("e")).select("relative_path", "e.error_class", "e.reason")
-    # the notes of a file, sorted by kind and then by column
-    order = {c.key: k for k, c in enumerate(schema.columns)}
-    place = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
-    said = (
-        unmatched(cells, found).select("relative_path", F.struct(F.lit(0).alias("kind"), F.col("idx").alias("at"), F.concat(F.lit("unmatched_header: "), "raw").alias("note")).alias("n"))
-        .unionByName(missing_keys(grid, found, schema, False).select("relative_path", F.struct(F.lit(1).alias("kind"), place[F.col("key")].alias("at"), F.concat(F.lit("optional_column_missing: "), "key").alias("note")).alias("n")))
-        .unionByName(found.filter("unit is not null").select("relative_path", F.struct(F.lit(2).alias("kind"), place[F.col("key")].alias("at"), F.concat(F.lit("unit: "), "key", F.lit(" = "), "unit").alias("note")).alias("n")))
-    )
-    notes = said.groupBy("relative_path").agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["note"]).alias("binding_notes"))
-    units = F.map_from_entries(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("key", "unit"))))
-    columns = found.join(refused, "relative_path", "left_anti").groupBy("relative_path").agg(F.map_from_entries(F.collect_list(F.struct("key", "idx"))).alias("columns"), units.alias("units"))
-    good = grid.select("relative_path").join(refused, "relative_path", "left_anti")
-    bound = good.join(columns, "relative_path", "left").join(notes, "relative_path", "left")
-    empty = F.array().cast("array<string>")
-    return bound.select("relative_path", "columns", "units", F.coalesce("binding_notes", empty).alias("binding_notes")), refused
+
+    def of_cells(cells: Column) -> Column:
+        each = []
+        for c in schema.columns:
+            names = sorted({_normal(h, options) for h in c.headers} - {""}) or [None]
+            each.append(_matches(cells, c.key, names))
+        return let(F.struct(cells.alias("cells"), F.array(*each).alias("each")), of_hits)
+
+    def of_hits(h: Column) -> Column:
+        cells, found = h["cells"], F.flatten(h["each"])
+        problems, lacking = [], []
+        for k, c in enumerate(schema.columns):
+            own = F.get(h["each"], F.lit(k))
+            before = F.flatten(F.slice(h["each"], 1, k)) if k else None
+            none = F.size(own) == 0
+            out = F.when(F.size(own) > 1, _problem(AmbiguousHeader, F.lit(f"header_twice: {c.key}")))
+            if c.required:
+                out = out.when(none, _problem(SchemaMismatch, F.lit(f"required_column_missing: {c.key}")))
+            else:
+                lacking.append(F.when(none, F.lit(c.key)))
+            if before is not None:
+                taken = F.array_contains(F.transform(before, lambda b: b["idx"]), F.get(own, F.lit(0))["idx"])
+                out = out.when(~none & taken, _problem(AmbiguousHeader, F.concat(F.lit("header_of_two_columns: "), (F.get(own, F.lit(0))["idx"] + 1).cast("string"))))
+            problems.append(out)
+        unused = F.filter(cells, lambda x: ~is_blank(x["raw"]) & ~F.exists(found, lambda f: f["idx"] == x["idx"]))
+        missing = F.filter(F.array(*lacking).cast("array<string>"), lambda k: k.isNotNull())
+        parts = F.struct(found.alias("found"), F.transform(unused, lambda x: F.struct(x["idx"].alias("idx"), x["raw"].alias("raw"))).alias("unmatched"), missing.alias("missing"), F.coalesce(*problems).alias("problem"))
+        return let(parts, whole)
+
+    def whole(p: Column) -> Column:
+        with_unit = F.filter(p["found"], lambda f: f["unit"].isNotNull())
+        notes = F.concat(
+            F.transform(p["unmatched"], lambda u: F.concat(F.lit("unmatched_header: "), u["raw"])),
+            F.transform(p["missing"], lambda k: F.concat(F.lit("optional_column_missing: "), k)),
+            F.transform(with_unit, lambda f: F.concat(F.lit("unit: "), f["key"], F.lit(" = "), f["unit"])),
+        )
+        good = p["problem"].isNull()
+        columns = F.map_from_entries(F.transform(p["found"], lambda f: F.struct(f["key"].alias("key"), f["idx"].alias("value"))))
+        units = F.map_from_entries(F.transform(with_unit, lambda f: F.struct(f["key"].alias("key"), f["unit"].alias("value"))))
+        return F.struct(
+            p["found"].alias("found"), p["unmatched"].alias("unmatched"), p["missing"].alias("missing"), notes.alias("notes"),
+            p["problem"]["error_class"].alias("error_class"), p["problem"]["reason"].alias("reason"), F.when(good, columns).alias("columns"), F.when(good, units).alias("units"),
+        )
+
+    return let(header_cells(headers, options), of_cells)
+
+
+def _matches(cells: Column, key: str, names: list[str]) -> Column:
+    hits = F.filter(cells, lambda x: x["normal"].isin(names))
+    return F.transform(hits, lambda x: F.struct(F.lit(key).alias("key"), x["idx"].alias("idx"), x["raw"].alias("raw"), x["unit"].alias("unit")))
+
+
+def _problem(kind: type, reason: Column) -> Column:
+    return F.struct(F.lit(kind.__name__).alias("error_class"), reason.alias("reason"))

@@ -17,9 +17,10 @@ def as_cells(cells: Column) -> Column:
     return F.transform(cells, lambda c: F.struct(c.alias("raw"), none.alias("native"), none.alias("unreadable")))
 
 
-def raw_rows(grid: DataFrame, bound: DataFrame) -> DataFrame:
-    """One row for each data row of each bound file: its number, its cells, where the columns are."""
-    return grid.join(bound, "relative_path").select("relative_path", "content_hash", "columns", F.explode("data").alias("d")).select("relative_path", "content_hash", "columns", "d.row_no", "d.cells")
+def raw_rows(bound: DataFrame) -> DataFrame:
+    """One row for each data row of each bound table: its number, its cells, where the columns are."""
+    keep = [c for c in ("relative_path", "content_hash", "sheet") if c in bound.columns]
+    return bound.select(*keep, F.col("binding.columns").alias("columns"), F.explode("data").alias("d")).select(*keep, "columns", "d.row_no", "d.cells")
 
 
 def cell_of(key: str) -> Column:

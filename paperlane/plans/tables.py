@@ -31,15 +31,15 @@ class Tables:
 def read_grid(grid: DataFrame, refused: DataFrame, schema: TableSchema, config: CaptureConfig, sheeted: bool = False) -> Tables:
     """A grid of header and data cells, bound, filtered, limited and interpreted."""
     options = config.tabular
-    bound, unbound = bind(grid, schema, options)
-    data = R.raw_rows(grid, bound)
+    judged = grid.withColumn("binding", bind(F.col("headers"), schema, options))
+    unbound = judged.filter("binding.reason is not null").select("relative_path", "binding.error_class", "binding.reason")
+    bound = judged.filter("binding.reason is null")
+    data = R.raw_rows(bound)
     if not sheeted:
         data = data.withColumn("cells", R.as_cells(F.col("cells")))
-    judged = data.withColumn("blank", R.is_blank_row(schema))
-    kept, counts = R.limited(judged, options.max_rows)
+    kept, counts = R.limited(data.withColumn("blank", R.is_blank_row(schema)), options.max_rows)
     done = R.interpreted(kept, schema, options, config.human_only_field_types)
     if sheeted:
-        done = done.join(grid.select("relative_path", "sheet"), "relative_path")
         for c in schema.columns:
             item = F.col(f"values.`{c.key}`")
             place = F.concat(F.col("sheet"), F.lit("!"), item["evidence"]["locator"])
@@ -47,11 +47,12 @@ def read_grid(grid: DataFrame, refused: DataFrame, schema: TableSchema, config:
             done = done.withColumn("values", F.col("values").withField(f"`{c.key}`", moved))
     notes = [
         F.col("notes"),
-        F.col("binding_notes"),
+        F.col("binding_notes"),  # of the header
         F.array(F.when(F.col("first_unread").isNotNull(), F.concat(F.lit("truncated_before_row: "), F.col("first_unread").cast("string")))),
         F.array(F.when(F.col("skipped") > 0, F.concat(F.lit("blank_rows_skipped: "), F.col("skipped").cast("string")))),
     ]
-    files = grid.select("relative_path", "content_hash", "notes", *(["sheet"] if sheeted else [])).join(bound, "relative_path").join(counts, "relative_path", "left")
+    about = bound.select("relative_path", "content_hash", "notes", F.col("binding.notes").alias("binding_notes"), F.col("binding.columns").alias("columns"), F.col("binding.units").alias("units"), *(["sheet"] if sheeted else []))
+    files = about.join(counts, "relative_path", "left")
     files = files.withColumns({"kept": F.coalesce("kept", F.lit(0)), "skipped": F.coalesce("skipped", F.lit(0))})
     files = files.withColumn("diagnostics", F.filter(F.concat(*notes), lambda n: n.isNotNull())).withColumn("truncated", F.col("first_unread").isNotNull())
     return Tables(done, files.drop("notes", "binding_notes"), refused.unionByName(unbound))

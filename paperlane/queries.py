@@ -260,38 +260,37 @@ def needs_human_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _supplier_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     price = F.when(k % 3 == 0, "Price").when(k % 3 == 1, "NET  price (EUR)").otherwise("Price [ USD ]")
-    extra = F.when(k % 4 == 0, "Quantity").when(k % 4 == 1, "(note)").when(k % 4 == 2, "Net (of tax) value").otherwise("  ")
-    code = F.when(k % 11 == 0, "Kode").when(k % 11 == 1, "price").otherwise("Item code")
-    return _t(spark, sf_dir, "supplier").select(k.cast("string").alias("relative_path"), F.array(code, price, extra).alias("headers"))
+    extra = F.when(k % 11 == 1, "price").when(k % 4 == 0, "Quantity").when(k % 4 == 1, "(note)").when(k % 4 == 2, "Net (of tax) value").otherwise("  ")
+    code = F.when(k % 11 == 0, "Kode").otherwise("Item\u00a0code")
+    headers = F.array(code, price, extra)
+    return _t(spark, sf_dir, "supplier").select(k.cast("string").alias("relative_path"), headers.alias("headers")).withColumn("b", B.bind(F.col("headers"), _SCHEMA, TabularOptions()))
 
 
 _HEADERS = """
 WITH h AS (SELECT CAST(s_suppkey AS VARCHAR) AS relative_path, s_suppkey AS k FROM supplier),
 cells AS (
-  SELECT relative_path, 0 AS idx, CASE k % 11 WHEN 0 THEN 'Kode' WHEN 1 THEN 'price' ELSE 'Item' || chr(160) || 'code' END AS raw, CASE k % 11 WHEN 0 THEN NULL WHEN 1 THEN 'price' ELSE 'code' END AS key, CAST(NULL AS VARCHAR) AS unit FROM h
+  SELECT relative_path, 0 AS idx, CASE k % 11 WHEN 0 THEN 'Kode' ELSE 'Item' || chr(160) || 'code' END AS raw, CASE k % 11 WHEN 0 THEN NULL ELSE 'code' END AS key, CAST(NULL AS VARCHAR) AS unit FROM h
   UNION ALL SELECT relative_path, 1, CASE k % 3 WHEN 0 THEN 'Price' WHEN 1 THEN 'NET  price (EUR)' ELSE 'Price [ USD ]' END, 'price', CASE k % 3 WHEN 1 THEN 'EUR' WHEN 2 THEN 'USD' END FROM h
-  UNION ALL SELECT relative_path, 2, CASE k % 4 WHEN 0 THEN 'Quantity' WHEN 1 THEN '(note)' WHEN 2 THEN 'Net (of tax) value' ELSE '  ' END, CASE WHEN k % 4 = 0 THEN 'quantity' END, NULL FROM h)
+  UNION ALL SELECT relative_path, 2, CASE WHEN k % 11 = 1 THEN 'price' WHEN k % 4 = 0 THEN 'Quantity' WHEN k % 4 = 1 THEN '(note)' WHEN k % 4 = 2 THEN 'Net (of tax) value' ELSE '  ' END, CASE WHEN k % 11 = 1 THEN 'price' WHEN k % 4 = 0 THEN 'quantity' END, NULL FROM h)
 """
 
 
 @query(_HEADERS + "SELECT relative_path, key, idx, raw, unit FROM cells WHERE key IS NOT NULL")
 def header_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers that a declared alias names, with the unit in their brackets."""
-    return B.matches(B.header_cells(_supplier_headers(spark, sf_dir), TabularOptions()), _SCHEMA, TabularOptions())
+    return _supplier_headers(spark, sf_dir).select("relative_path", F.explode("b.found").alias("f")).select("relative_path", "f.key", "f.idx", "f.raw", "f.unit")
 
 
 @query(_HEADERS + "SELECT relative_path, idx, raw FROM cells WHERE key IS NULL AND trim(raw) <> ''")
 def unmatched_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers that no column uses."""
-    cells = B.header_cells(_supplier_headers(spark, sf_dir), TabularOptions())
-    return B.unmatched(cells, B.matches(cells, _SCHEMA, TabularOptions()))
+    return _supplier_headers(spark, sf_dir).select("relative_path", F.explode("b.unmatched").alias("u")).select("relative_path", "u.idx", "u.raw")
 
 
 @query(_HEADERS + "SELECT h.relative_path, v.key FROM h CROSS JOIN (VALUES ('quantity'), ('price'), ('remark')) v(key) WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.relative_path = h.relative_path AND c.key = v.key)")
 def missing_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optional columns that a table lacks."""
-    grid = _supplier_headers(spark, sf_dir)
-    return B.missing_keys(grid, B.matches(B.header_cells(grid, TabularOptions()), _SCHEMA, TabularOptions()), _SCHEMA, False)
+    return _supplier_headers(spark, sf_dir).select("relative_path", F.explode("b.missing").alias("key"))
 
 
 @query("""
@@ -300,14 +299,14 @@ SELECT CAST(s_suppkey AS VARCHAR) AS relative_path, CASE WHEN s_suppkey % 11 = 1
 """)
 def header_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables with an ambiguous header or without a required column."""
-    return B.bind(_supplier_headers(spark, sf_dir), _SCHEMA, TabularOptions())[1]
+    return _supplier_headers(spark, sf_dir).filter("b.reason is not null").select("relative_path", "b.error_class", "b.reason")
 
 
 @query(_HEADERS + "SELECT relative_path, max(CASE WHEN key = 'price' THEN unit END) AS price_unit, count(key) AS bound_columns FROM cells WHERE CAST(relative_path AS BIGINT) % 11 NOT IN (0, 1) GROUP BY relative_path")
 def units_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units by column of the tables that could be bound."""
-    bound = B.bind(_supplier_headers(spark, sf_dir), _SCHEMA, TabularOptions())[0]
-    return bound.select("relative_path", F.try_element_at("units", F.lit("price")).alias("price_unit"), F.size("columns").cast("bigint").alias("bound_columns"))
+    good = _supplier_headers(spark, sf_dir).filter("b.reason is null")
+    return good.select("relative_path", F.try_element_at("b.units", F.lit("price")).alias("price_unit"), F.size("b.columns").cast("bigint").alias("bound_columns"))
 
 
 def _header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
