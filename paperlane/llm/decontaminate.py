@@ -93,8 +93,12 @@ def _bitmap(tests: DataFrame) -> np.ndarray:
     return words
 
 
-def document_seeds(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """(doc, hash, at, from, words): document windows that the bitmap lets through, with the word hashes around each."""
+def document_regions(docs: DataFrame, tests: DataFrame) -> DataFrame:
+    """(doc, from, words, hits): stretches of documents around windows that the bitmap lets through.
+
+    Windows less than two contexts apart share a stretch, so its words are
+    held once for all of them; hits are (hash, at), from the stretch's first word.
+    """
     spark = docs.sparkSession
     lengths = sorted(r.n for r in tests.select(F.least(F.size("words"), F.lit(max(map(len, MASKS)))).alias("n")).distinct().collect())
     bitmap = spark.sparkContext.broadcast(_bitmap(tests))
@@ -104,33 +108,42 @@ def document_seeds(docs: DataFrame, tests: DataFrame) -> DataFrame:
         bits = bitmap.value
         for batch in A.slices(batches, "text"):
             w = A.folded_words(batch.column("text"))
+            spots, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for number, mask in enumerate(MASKS):
                 for n in [None, *(x for x in lengths if x < len(mask))]:
                     at, value = seeds(w, mask, number, n)
-                    pick = np.arange(len(value))
                     for shift in (0, BITMAP_BITS):
-                        short = (value[pick] >> np.uint64(shift)) & low
-                        pick = pick[(bits[(short >> np.uint64(6)).astype(np.int64)] >> (short & np.uint64(63)) & np.uint64(1)).astype(bool)]
-                    if not len(pick):
-                        continue
-                    at, value = at[pick], value[pick]
-                    row = w.row[at]
-                    begin, end = np.maximum(w.first[row], at - CONTEXT), np.minimum(w.first[row + 1], at + CONTEXT)
-                    first = np.concatenate([[0], np.cumsum(end - begin)])
-                    index = np.arange(first[-1]) + np.repeat(begin - first[:-1], end - begin)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc").take(pa.array(row)),
-                            A.as_signed(value),
-                            pa.array((at - begin).astype(np.int32)),
-                            pa.array((begin - w.first[row]).astype(np.int32)),
-                            A.lists(A.as_signed(w.hash[index]), first),
-                        ],
-                        ["doc", "hash", "at", "from", "words"],
-                    )
+                        short = (value >> np.uint64(shift)) & low
+                        pick = (bits[(short >> np.uint64(6)).astype(np.int64)] >> (short & np.uint64(63)) & np.uint64(1)).astype(bool)
+                        at, value = at[pick], value[pick]
+                    spots.append(at)
+                    hashes.append(value)
+            at, value = np.concatenate(spots), np.concatenate(hashes)
+            if not len(at):
+                continue
+            order = np.argsort(at, kind="stable")
+            at, value = at[order], value[order]
+            row = w.row[at]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(at) >= 2 * CONTEXT)]))
+            own = row[new]
+            last = at[np.append(new[1:], len(at)) - 1]
+            begin, end = np.maximum(w.first[own], at[new] - CONTEXT), np.minimum(w.first[own + 1], last + CONTEXT)
+            first = np.concatenate([[0], np.cumsum(end - begin)])
+            index = np.arange(first[-1]) + np.repeat(begin - first[:-1], end - begin)
+            many = np.diff(np.append(new, len(at)))
+            hit = pa.StructArray.from_arrays([A.as_signed(value), pa.array((at - np.repeat(begin, many)).astype(np.int32))], ["hash", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc").take(pa.array(own)),
+                    pa.array((begin - w.first[own]).astype(np.int32)),
+                    A.lists(A.as_signed(w.hash[index]), first),
+                    A.lists(hit, np.append(new, len(at))),
+                ],
+                ["doc", "from", "words", "hits"],
+            )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    return src.mapInArrow(run, "doc long, hash long, at int, from int, words array<long>")
+    return src.mapInArrow(run, "doc long, from int, words array<long>, hits array<struct<hash:long,at:int>>")
 
 
 def overlap(text: np.ndarray, item: np.ndarray, at: int, item_at: int) -> tuple[int, int, int]:
@@ -157,28 +170,36 @@ def counts(length: int, same: int, item_length: int) -> bool:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, n_same): the best overlap of each document with each item it overlaps.
 
-    The overlap of an item of more than ``CONTEXT`` words is seen within that many words around each hit.
+    Hits alone are joined with the test hashes; words come to the pairs of
+    stretches and items that have a hit in common.  An overlap is seen as far
+    as ``CONTEXT`` words beyond the outermost hits of its stretch.
     """
     spark = docs.sparkSession
-    tests = settle(spark, item_seeds(benchmark), "seeds")
-    hits = document_seeds(docs, tests).join(tests.withColumnsRenamed({"at": "item_at", "words": "item_words"}), "hash")
+    tests = settle(spark, item_seeds(benchmark).withColumn("item_row", F.xxhash64("item", "words")), "seeds")
+    regions = settle(spark, document_regions(docs, tests).withColumn("region", F.xxhash64("doc", "from", "words")), "regions")
+    hits = regions.select("region", F.explode("hits").alias("h")).select("region", "h.hash", "h.at")
+    pairs = hits.join(tests.select("hash", "item_row", F.col("at").alias("item_at")), "hash").groupBy("region", "item_row").agg(F.collect_set(F.struct("at", "item_at")).alias("seeds"))
+    items = tests.select("item_row", "item", F.col("words").alias("item_words")).dropDuplicates(["item_row"])
+    texts = regions.select("region", "doc", "from", "words").dropDuplicates(["region"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, spans = [], []
-            doc_words, item_words = batch.column("words"), batch.column("item_words")
-            at, item_at, base = (batch.column(c).to_numpy() for c in ("at", "item_at", "from"))
+            doc_words, item_words, starts = batch.column("words"), batch.column("item_words"), batch.column("seeds").to_pylist()
+            base = batch.column("from").to_numpy()
             for k in range(batch.num_rows):
-                item = item_words[k].values.to_numpy()
-                first, n, same = overlap(doc_words[k].values.to_numpy(), item, int(at[k]), int(item_at[k]))
-                if counts(n, same, len(item)):
-                    keep.append(k)
-                    spans.append((int(base[k]) + first, n, same))
+                text, item = doc_words[k].values.to_numpy(), item_words[k].values.to_numpy()
+                for s in starts[k]:
+                    first, n, same = overlap(text, item, s["at"], s["item_at"])
+                    if counts(n, same, len(item)):
+                        keep.append(k)
+                        spans.append((int(base[k]) + first, n, same))
             a = np.array(spans, np.int32).reshape(-1, 3)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("item").take(take), *(pa.array(a[:, c].copy()) for c in range(3))], ["doc_id", "item_id", "first_word", "n_words", "n_same"])
 
-    found = hits.select("doc", "item", "at", "item_at", "from", "words", "item_words").mapInArrow(verify, "doc_id long, item_id long, first_word int, n_words int, n_same int")
+    both = pairs.join(items, "item_row").join(texts, "region").select("doc", "item", "from", "words", "item_words", "seeds")
+    found = both.mapInArrow(verify, "doc_id long, item_id long, first_word int, n_words int, n_same int")
     best = F.max(F.struct("n_same", "n_words", (-F.col("first_word")).alias("early"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.early")).alias("first_word"), F.col("best.n_words").alias("n_words"), F.col("best.n_same").alias("n_same"))
 
