@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperlane.config import CaptureConfig, TableSchema
+from paperlane.errors import SourceUnreadable
 from paperlane.functions.wire import VERSION
 from paperlane.model import EXTRACTED, TABULAR, confirmed, evidence
 from paperlane.operators import rows as R
@@ -60,14 +61,14 @@ def read_grid(grid: DataFrame, refused: DataFrame, schema: TableSchema, config:
 
 def load(spark: SparkSession, schema: TableSchema, config: CaptureConfig, paths: list[str] | None = None) -> Tables:
     """Every table file below the root (or the named ones): gated, read by its format, bound and interpreted."""
-    if paths is None:
-        listed = selection.files(spark, config.input_root).select("relative_path")
-    else:
-        listed = spark.createDataFrame([(selection.require_relative(p),) for p in paths], "relative_path string")
-    accepted, refused = selection.gate(listed, config, TABULAR)
+    named = selection.listed(config.input_root) if paths is None else [selection.require_relative(p) for p in paths]
+    accepted, refused = selection.gate(spark.createDataFrame([(p,) for p in named], "relative_path string"), config, TABULAR)
     names = [r.relative_path for r in accepted.select("relative_path").collect()]  # file names only
     books = [n for n in names if n.lower().endswith(selection.WORKBOOKS)]
     texts = [n for n in names if n not in set(books)]
+    empty = [n for n in texts if selection.is_empty(config.input_root, n)]  # Spark's file sources pass over these
+    texts = [n for n in texts if n not in set(empty)]
+    refused = refused.unionByName(spark.createDataFrame([(n, SourceUnreadable.__name__, "header_beyond_file") for n in empty], _REFUSED))
     parts = []
     if texts:
         parts.append(read_grid(*delimited(selection.files(spark, config.input_root, texts), config.tabular), schema, config))
@@ -75,8 +76,8 @@ def load(spark: SparkSession, schema: TableSchema, config: CaptureConfig, paths:
         grid, bad = workbook(spark, config.input_root, books, config.tabular, config.run_active_content)
         parts.append(read_grid(grid, bad, schema, config, sheeted=True))
     if not parts:
-        empty = spark.createDataFrame([], "relative_path string, content_hash string, headers array<string>, notes array<string>, data array<struct<row_no:int,cells:array<string>>>")
-        parts.append(read_grid(empty, spark.createDataFrame([], _REFUSED), schema, config))
+        nothing = spark.createDataFrame([], "relative_path string, content_hash string, headers array<string>, notes array<string>, data array<struct<row_no:int,cells:array<string>>>")
+        parts.append(read_grid(nothing, spark.createDataFrame([], _REFUSED), schema, config))
     rows, files = parts[0].rows, parts[0].files
     for p in parts[1:]:
         rows, files = rows.unionByName(p.rows, allowMissingColumns=True), files.unionByName(p.files, allowMissingColumns=True)

@@ -71,6 +71,16 @@ def resolve_source(root: str, path: str) -> str:
     return str(found)
 
 
+def listed(root: str) -> list[str]:
+    """The relative paths of all files below ``root``, in order."""
+    top = Path(root).resolve()
+    return sorted(p.relative_to(top).as_posix() for p in top.rglob("*") if p.is_file())
+
+
+def is_empty(root: str, path: str) -> bool:
+    return Path(resolve_source(root, path)).stat().st_size == 0
+
+
 def content_hash(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))
 
@@ -82,5 +92,5 @@ def files(spark: SparkSession, root: str, paths: list[str] | None = None, glob:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(top)
     else:
         found = spark.read.format("binaryFile").load([resolve_source(root, p).replace("[", "\\[").replace("{", "\\{").replace("*", "\\*").replace("?", "\\?") for p in paths])
-    inside = F.regexp_replace(F.url_decode(F.regexp_replace(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")), "^file:/*", "/")), "^" + re.escape(top.rstrip("/") + "/"), "")
+    inside = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(top.rstrip("/") + "/"), "")
     return found.select(inside.alias("relative_path"), content_hash(F.col("content")).alias("content_hash"), "content")
