@@ -20,7 +20,7 @@ def test_lines_of_usable_documents(spark):
     assert {(r.relative_path, r.reason) for r in refused.collect()} == {("b", "text_layer_ambiguous"), ("c", "text_layer_absent"), ("d", "empty_rectangle")}
     assert suspicions.count() == 0
     v = {r.doc: r for r in L.verdict(L.page_probe(f), TextLayerOptions()).collect()}
-    assert v["a"].mixed and v["a"].pages == 3 and v["b"].total_chars == 18 and v["b"].most_chars == 18
+    assert v["a"].mixed and v["a"].pages == 3 and v["b"].total_chars == 17 and v["b"].most_chars == 17
 
 
 def test_merged_columns(spark):
