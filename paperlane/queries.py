@@ -555,8 +555,14 @@ def _rule_result(df: DataFrame, rules: tuple[Rule, ...], *keys: str) -> DataFram
     return done.select("l_orderkey", "l_linenumber", *shown, F.array_join(F.transform("outcomes", lambda o: o["status"]), ",").alias("status"))
 
 
-_Q = F.col("l_quantity").cast("bigint")
-_N = F.col("l_linenumber")
+def _q() -> Column:
+    return F.col("l_quantity").cast("bigint")
+
+
+def _n() -> Column:
+    return F.col("l_linenumber")
+
+
 _LINES = "FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, CAST(l_linenumber AS DOUBLE) AS n, l_linenumber % 3 AS k FROM lineitem) a"
 _CONF = "CASE WHEN {0} THEN 'needs_review' ELSE 'confirmed' END AS {1}_confidence"
 
@@ -564,21 +570,21 @@ _CONF = "CASE WHEN {0} THEN 'needs_review' ELSE 'confirmed' END AS {1}_confidenc
 @query(f"SELECT l_orderkey, l_linenumber, q * n + CASE WHEN k = 0 THEN 1 ELSE 0 END AS total, {_CONF.format('k = 0', 'total')}, q AS quantity, {_CONF.format('k = 0', 'quantity')}, CASE WHEN k = 0 THEN 'violation' ELSE 'ok' END AS status {_LINES}")
 def rule_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An equation that doesn't hold flags its parts and corrects nothing."""
-    df = _numbers(spark, sf_dir, total=_Q * _N + F.when(_N % 3 == 0, 1).otherwise(0), quantity=_Q, unit=_N)
+    df = _numbers(spark, sf_dir, total=_q() * _n() + F.when(_n() % 3 == 0, 1).otherwise(0), quantity=_q(), unit=_n())
     return _rule_result(df, (Rule("t", "total", ("quantity", "unit")),), "total", "quantity")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, q * n AS total, {_CONF.format('k = 0', 'total')}, q AS quantity, 'confirmed' AS quantity_confidence, CASE WHEN k = 0 THEN 'derived' ELSE 'ok' END AS status {_LINES}")
 def rule_derive_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A missing total is derived, to review."""
-    df = _numbers(spark, sf_dir, total=F.when(_N % 3 != 0, _Q * _N), quantity=_Q, unit=_N)
+    df = _numbers(spark, sf_dir, total=F.when(_n() % 3 != 0, _q() * _n()), quantity=_q(), unit=_n())
     return _rule_result(df, (Rule("t", "total", ("quantity", "unit")),), "total", "quantity")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, q * n AS total, 'confirmed' AS total_confidence, CASE WHEN k = 0 THEN (q * n) / n ELSE q END AS quantity, {_CONF.format('k = 0', 'quantity')}, CASE WHEN k = 0 THEN 'derived' ELSE 'ok' END AS status {_LINES}")
 def rule_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A missing operand is computed back."""
-    df = _numbers(spark, sf_dir, total=_Q * _N, quantity=F.when(_N % 3 != 0, _Q), unit=_N)
+    df = _numbers(spark, sf_dir, total=_q() * _n(), quantity=F.when(_n() % 3 != 0, _q()), unit=_n())
     return _rule_result(df, (Rule("t", "total", ("quantity", "unit")),), "total", "quantity")
 
 
@@ -586,14 +592,14 @@ def rule_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one rule derives the next one uses."""
     none = F.lit(None).cast("string")
-    df = _numbers(spark, sf_dir, gross=_Q + 5, net=none, tax=_N, line=none, factor=F.lit(1))
+    df = _numbers(spark, sf_dir, gross=_q() + 5, net=none, tax=_n(), line=none, factor=F.lit(1))
     return _rule_result(df, (Rule("g", "gross", ("net", "tax"), "sum"), Rule("l", "line", ("net", "factor"))), "net", "line")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, q AS total, 'confirmed' AS total_confidence, CASE WHEN k > 0 THEN q / k END AS quantity, CASE WHEN k > 0 THEN 'needs_review' ELSE 'missing' END AS quantity_confidence, CASE WHEN k > 0 THEN 'derived' ELSE 'not_run' END AS status {_LINES}")
 def rule_zero_divisor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nothing is divided by zero."""
-    df = _numbers(spark, sf_dir, total=_Q, quantity=F.lit(None).cast("string"), unit=_N % 3)
+    df = _numbers(spark, sf_dir, total=_q(), quantity=F.lit(None).cast("string"), unit=_n() % 3)
     return _rule_result(df, (Rule("t", "total", ("quantity", "unit")),), "total", "quantity")
 
 
@@ -601,7 +607,7 @@ def rule_zero_divisor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_not_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Too many values missing, and a rule that may not derive."""
     none = F.lit(None).cast("string")
-    df = _numbers(spark, sf_dir, total=F.when(_N % 3 != 0, _Q), quantity=none, unit=none, other=_Q)
+    df = _numbers(spark, sf_dir, total=F.when(_n() % 3 != 0, _q()), quantity=none, unit=none, other=_q())
     return _rule_result(df, (Rule("t", "total", ("quantity", "unit")), Rule("o", "quantity", ("total", "other"), derive=False)), "total", "quantity")
 
 

@@ -74,3 +74,12 @@ def test_the_log_has_no_content(caplog):
             with pytest.raises(Configuration):
                 log_step(get_logger("t"), "read", value=bad)
     assert "read kind=tabular rows=3" in caplog.text
+
+
+def test_the_entry_can_be_imported_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, check=True)
