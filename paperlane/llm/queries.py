@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlane.llm import automaton, decontaminate, packing, quality, repetition, sharding, simhash, store, styletree, substring
+from paperlane.llm import decontaminate, packing, quality, repetition, sharding, simhash, store, styletree, substring, wordgrams
 
 ORACLE: dict[str, str] = {"op10_hash_tree_sharding": sharding.oracle("documents")}
 
@@ -38,7 +38,7 @@ def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability and bits per byte of every document under the model of them all."""
-    return automaton.scores(_documents(spark, sf_dir))
+    return wordgrams.scores(_documents(spark, sf_dir))
 
 
 def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
