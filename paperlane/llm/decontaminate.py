@@ -2,12 +2,14 @@
 
 A seed is a fixed mask over consecutive words; the masked-out positions are
 ignored, so a hit survives a substitution there.  Hashes of all windows of the
-test items and of all documents are joined on equal hash, and around each hit
-the two texts are laid over each other without gaps: the overlap grows in both
-directions while its score (1 for an equal word, -2 for another) stays within
-``DROP`` of its best.  An overlap counts when it covers ``MIN_OVERLAP`` words,
-or the whole item where that is shorter, and at least ``MIN_SAME`` of its words
-are equal.
+test items and of all documents are joined on equal hash, and at each hit the
+two texts are laid over each other without gaps: the overlap is the longest
+stretch of which at least ``MIN_SAME`` of the words are equal.  It counts when
+it covers ``MIN_OVERLAP`` words, or the whole item where that is shorter.
+
+``MASKS`` miss no such overlap: each way of placing a quarter of other words
+in 6 to 25 words leaves one of the masks a place, and of a longer stretch one
+half or the other is such a stretch itself.
 
 Before the join, a bitmap of fixed size built from the test hashes drops
 document windows that can't match; it is correct for any number of test items
@@ -32,12 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 from paperlane.llm import arrays as A
 from paperlane.llm.stored import settle
 
-MASKS = ("110110111", "1110010111", "11011000111")
+MASKS = ("11101", "100111", "1101001")
 MIN_OVERLAP = 13
 MIN_ITEM = 6
 MIN_SAME = 0.75
-DROP = 7
-CONTEXT = 128
 BITMAP_BITS = 24
 
 
@@ -97,10 +97,12 @@ def document_regions(docs: DataFrame, tests: DataFrame) -> DataFrame:
     """(doc, from, words, hits): stretches of documents around windows that the bitmap lets through.
 
     Windows less than two contexts apart share a stretch, so its words are
-    held once for all of them; hits are (hash, at), from the stretch's first word.
+    held once for all of them; hits are (hash, at), from the stretch's first
+    word.  The context is as long as the longest item, so no overlap is cut.
     """
     spark = docs.sparkSession
     lengths = sorted(r.n for r in tests.select(F.least(F.size("words"), F.lit(max(map(len, MASKS)))).alias("n")).distinct().collect())
+    context = tests.agg(F.max(F.size("words"))).first()[0] or 0
     bitmap = spark.sparkContext.broadcast(_bitmap(tests))
     low = np.uint64((1 << BITMAP_BITS) - 1)
 
@@ -124,10 +126,10 @@ def document_regions(docs: DataFrame, tests: DataFrame) -> DataFrame:
             order = np.argsort(at, kind="stable")
             at, value = at[order], value[order]
             row = w.row[at]
-            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(at) >= 2 * CONTEXT)]))
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(at) >= 2 * context)]))
             own = row[new]
             last = at[np.append(new[1:], len(at)) - 1]
-            begin, end = np.maximum(w.first[own], at[new] - CONTEXT), np.minimum(w.first[own + 1], last + CONTEXT)
+            begin, end = np.maximum(w.first[own], at[new] - context), np.minimum(w.first[own + 1], last + context)
             first = np.concatenate([[0], np.cumsum(end - begin)])
             index = np.arange(first[-1]) + np.repeat(begin - first[:-1], end - begin)
             many = np.diff(np.append(new, len(at)))
@@ -147,20 +149,16 @@ def document_regions(docs: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def overlap(text: np.ndarray, item: np.ndarray, at: int, item_at: int) -> tuple[int, int, int]:
-    """The best-scoring gapless overlap through a hit: first word of the text, length, equal words."""
+    """The longest stretch with enough equal words on the diagonal of a hit (then most equal, first): its first word in the text, length, equal words."""
     lead = min(at, item_at)
     tail = min(len(text) - at, len(item) - item_at)
-    same = text[at - lead : at + tail] == item[item_at - lead : item_at + tail]
-    score = np.where(same, 1, -2)
-
-    def reach(s: np.ndarray) -> int:
-        total = np.cumsum(s)
-        low = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total > DROP)
-        total = total[: low[0]] if len(low) else total
-        return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
-
-    right, left = reach(score[lead:]), reach(score[:lead][::-1])
-    return at - left, left + right, int(same[lead - left : lead + right].sum())
+    total = np.concatenate([[0], np.cumsum(text[at - lead : at + tail] == item[item_at - lead : item_at + tail])])
+    spare = total - MIN_SAME * np.arange(len(total))  # a stretch has enough where this doesn't fall
+    begin = np.searchsorted(-np.minimum.accumulate(spare), -spare)
+    length = np.arange(len(total)) - begin
+    same = total - total[begin]
+    end = int(np.lexsort((-same, -length))[0])
+    return at - lead + int(begin[end]), int(length[end]), int(same[end])
 
 
 def counts(length: int, same: int, item_length: int) -> bool:
@@ -171,26 +169,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, n_same): the best overlap of each document with each item it overlaps.
 
     Hits alone are joined with the test hashes; words come to the pairs of
-    stretches and items that have a hit in common.  An overlap is seen as far
-    as ``CONTEXT`` words beyond the outermost hits of its stretch.
+    stretches and items that have a hit in common, with the diagonals they hit.
     """
     spark = docs.sparkSession
     tests = settle(spark, item_seeds(benchmark).withColumn("item_row", F.xxhash64("item", "words")), "seeds")
     regions = settle(spark, document_regions(docs, tests).withColumn("region", F.xxhash64("doc", "from", "words")), "regions")
     hits = regions.select("region", F.explode("hits").alias("h")).select("region", "h.hash", "h.at")
-    pairs = hits.join(tests.select("hash", "item_row", F.col("at").alias("item_at")), "hash").groupBy("region", "item_row").agg(F.collect_set(F.struct("at", "item_at")).alias("seeds"))
+    pairs = hits.join(tests.select("hash", "item_row", F.col("at").alias("item_at")), "hash").groupBy("region", "item_row").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
     items = tests.select("item_row", "item", F.col("words").alias("item_words")).dropDuplicates(["item_row"])
     texts = regions.select("region", "doc", "from", "words").dropDuplicates(["region"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, spans = [], []
-            doc_words, item_words, starts = batch.column("words"), batch.column("item_words"), batch.column("seeds").to_pylist()
+            doc_words, item_words, starts = batch.column("words"), batch.column("item_words"), batch.column("diagonals").to_pylist()
             base = batch.column("from").to_numpy()
             for k in range(batch.num_rows):
                 text, item = doc_words[k].values.to_numpy(), item_words[k].values.to_numpy()
-                for s in starts[k]:
-                    first, n, same = overlap(text, item, s["at"], s["item_at"])
+                for d in starts[k]:
+                    first, n, same = overlap(text, item, max(d, 0), max(-d, 0))
                     if counts(n, same, len(item)):
                         keep.append(k)
                         spans.append((int(base[k]) + first, n, same))
@@ -198,7 +195,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("item").take(take), *(pa.array(a[:, c].copy()) for c in range(3))], ["doc_id", "item_id", "first_word", "n_words", "n_same"])
 
-    both = pairs.join(items, "item_row").join(texts, "region").select("doc", "item", "from", "words", "item_words", "seeds")
+    both = pairs.join(items, "item_row").join(texts, "region").select("doc", "item", "from", "words", "item_words", "diagonals")
     found = both.mapInArrow(verify, "doc_id long, item_id long, first_word int, n_words int, n_same int")
     best = F.max(F.struct("n_same", "n_words", (-F.col("first_word")).alias("early"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.early")).alias("first_word"), F.col("best.n_words").alias("n_words"), F.col("best.n_same").alias("n_same"))

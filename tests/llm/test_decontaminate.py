@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -84,3 +85,51 @@ def test_long_items_overlap_beyond_the_context():
     h = np.arange(400, dtype=np.uint64)
     assert D.overlap(h, h, 200, 200) == (0, 400, 400)
     assert A.folded_words(pa.array(["É é", None])).first.tolist() == [0, 2, 2]
+
+
+def exact(text, item):
+    """The best overlap of a pair by the documented limit: every stretch of every diagonal, without seeds or overlap()."""
+    best = None
+    for shift in range(-len(item) + 1, len(text)):
+        span = range(max(shift, 0), min(shift + len(item), len(text)))
+        same = np.concatenate([[0], np.cumsum([text[i] == item[i - shift] for i in span])]).astype(int)
+        found = [(b - a, same[b] - same[a], -(span[0] + a)) for a in range(len(span)) for b in range(a + 1, len(span) + 1) if 4 * (same[b] - same[a]) >= 3 * (b - a)]
+        if found and max(found)[0] >= min(13, len(item)):
+            n, eq, early = max(found)
+            best = max(best or (0, 0, 0), (eq, n, early))
+    return best
+
+
+def test_masks_miss_no_placing_of_other_words():
+    for n in range(6, 26):
+        other = np.array(list(itertools.combinations(range(n), n // 4)))
+        word = np.full(len(other), (1 << n) - 1) - (1 << other).sum(axis=1)
+        masks = [(int(m[::-1], 2), len(m)) for m in D.MASKS]
+        assert np.logical_or.reduce([(word >> at) & m == m for m, span in masks for at in range(n - span + 1)]).all()
+
+
+def test_any_placing_of_substitutions_against_all_diagonals(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    items, rows, want = [], [], {}
+    for i in range(400):
+        item = [word() for _ in range(rng.choice([6, 7, 8, 9, 11, 13, 13, 15, 18, 20, 40, 300]))]
+        leak, part = list(item), rng.choice([len(item), max(13, len(item) // 2)])
+        for at in rng.sample(range(len(leak)), rng.choice([len(leak) // 4, len(leak) // 5, len(leak) // 3])):
+            leak[at] = word()
+        text = [word() for _ in range(rng.randint(0, 9))] + leak[:part] + [word() for _ in range(rng.randint(0, 9))]
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join(text), "en", "s", 1))
+        if i % 4 == 0 or len(item) < 100:
+            want[i] = exact(text, item)
+    got = {r.doc_id: (r.n_same, r.n_words, -r.first_word) for r in D.overlaps(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect() if r.doc_id == r.item_id}
+    assert {i: got.get(i) for i in want} == want
+    assert sum(x is not None for x in want.values()) > 150
+
+
+def test_a_changed_word_at_the_end_and_changes_close_together():
+    item = np.arange(15)
+    for changed in ([0], [14], [1, 13], [11, 12, 13]):
+        text = item.copy()
+        text[changed] = 99
+        assert D.overlap(text, item, 5, 5) == (0, 15, 15 - len(changed))
