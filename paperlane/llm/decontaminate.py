@@ -202,6 +202,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that overlap an item; rows with a null ``doc_id`` are judged together."""
-    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("__pl_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("__pl_leak")), "left_anti")
+    """``docs`` without those that overlap an item; each row is judged by its own text."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    leaks = overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__pl_leak")).distinct()
+    return docs.join(leaks, key == F.col("__pl_leak"), "left_anti")

@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(small_low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = small.unionByName(small_low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         now = settle(spark, nxt, "edges")
-        state = now.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
+        state = now.agg(F.count("*"), F.sum(F.col("b").cast("decimal(20)")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if state == before:
             break
         before = state

@@ -16,8 +16,8 @@ emitted, as a spanning forest of each shard; the union runs in Spark.
 
 Defined results: null texts, texts without a word and rows with a null
 ``doc_id`` are in no group.  A text of one word uses that word as its only
-feature.  Rows that repeat a ``doc_id`` count as one document that has all of
-their texts.  Equal codes collapse before the search, so thousands of exact
+feature.  In the pairs, rows that repeat a ``doc_id`` count as one document
+that has all of their texts; ``keep_one`` decides on each row.  Equal codes collapse before the search, so thousands of exact
 copies cost one node.  Ties go to the smallest ``doc_id``, which each group
 keeps.
 """
@@ -374,14 +374,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES,
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """``docs`` with one row for each near-duplicate group; rows with a null ``doc_id`` or without a word all stay."""
+    """``docs`` with one row for each near-duplicate group, of the smallest ``doc_id``; rows with a null ``doc_id`` or without a word all stay.
+
+    Each row is compared by its own text, also where it shares its ``doc_id``
+    with others; of rows equal in both, one stays.
+    """
+    spark = docs.sparkSession
     ids = F.col("doc_id").cast("long")
-    gone = near_duplicates(docs, **how).select(F.col("doc_id").alias("__pl_id"))
-    worded = docs.filter("doc_id is not null and text is not null").select(ids.alias("__pl_id"), F.regexp_like("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).alias("__pl_word")).filter("__pl_word")
-    twice = settle(docs.sparkSession, worded.groupBy("__pl_id").count().filter("count > 1").select("__pl_id"), "twice")
+    key = F.when(ids.isNotNull() & F.col("text").isNotNull(), F.xxhash64(ids, F.col("text").cast("string")))
+    near = near_duplicates(docs.select(key.alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("__pl_key"), F.col("kept_doc_id").alias("__pl_root"))
+    members = settle(spark, near.unionByName(near.select(F.col("__pl_root").alias("__pl_key"), "__pl_root").distinct()), "members")
+    owned = settle(spark, docs.select(key.alias("__pl_key"), ids.alias("__pl_id")).join(members, "__pl_key").distinct(), "owned")
+    best = owned.groupBy("__pl_root").agg(F.min(F.struct("__pl_id", "__pl_key")).alias("__pl_best"))
+    gone = settle(spark, owned.join(best, "__pl_root").filter("__pl_key <> __pl_best.__pl_key").select("__pl_key").distinct(), "gone")
+    worded = docs.select(key.alias("__pl_key"), F.regexp_like("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).alias("__pl_word")).filter("__pl_word and __pl_key is not null")
+    twice = settle(spark, worded.groupBy("__pl_key").count().filter("count > 1").select("__pl_key"), "twice")
     if twice.isEmpty():
-        return docs.join(gone, ids == F.col("__pl_id"), "left_anti")
-    once = docs.join(gone.unionByName(twice).distinct(), ids == F.col("__pl_id"), "left_anti")
-    again = docs.join(twice.join(gone, "__pl_id", "left_anti"), ids == F.col("__pl_id"), "left_semi")
-    order = W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text"))
+        return docs.join(gone, key == F.col("__pl_key"), "left_anti")
+    once = docs.join(gone.unionByName(twice).distinct(), key == F.col("__pl_key"), "left_anti")
+    again = docs.join(twice.join(gone, "__pl_key", "left_anti"), key == F.col("__pl_key"), "left_semi")
+    order = W.partitionBy("doc_id", "text").orderBy(F.lit(0))
     return once.unionByName(again.withColumn("__pl_n", F.row_number().over(order)).filter("__pl_n = 1").drop("__pl_n"))

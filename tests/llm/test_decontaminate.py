@@ -133,3 +133,11 @@ def test_a_changed_word_at_the_end_and_changes_close_together():
         text = item.copy()
         text[changed] = 99
         assert D.overlap(text, item, 5, 5) == (0, 15, 15 - len(changed))
+
+
+def test_rows_without_or_with_the_same_id_are_judged_one_by_one(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    rows = [(None, "see " + item), (None, "a clean text of its own"), (1, item), (1, "another clean text"), (None, None), (2, "clean")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    kept = D.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == set(rows) - {rows[0], rows[2]}

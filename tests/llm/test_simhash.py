@@ -85,3 +85,12 @@ def test_edges_of_data(spark):
 def test_components(spark, pairs, want):
     got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert {r.id: r.root for r in got} == want and len(got) == len(want)
+
+
+def test_rows_that_share_an_id_are_decided_by_their_own_texts(spark):
+    rng = np.random.RandomState(1)
+    a, b, c = (" ".join(f"w{x}" for x in rng.randint(0, 10**6, 300)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (4, b + " end"), (6, a + " end"), (7, c), (7, "..."), (7, "..."), (None, "unlike"), (None, None)]
+    kept = S.keep_one(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS))
+    want = [(4, b + " end"), (5, a), (7, c), (7, "..."), (7, "..."), (None, "unlike"), (None, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
