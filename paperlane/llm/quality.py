@@ -32,7 +32,7 @@ from paperlane.llm import arrays as A
 from paperlane.llm.stored import settle
 
 MAX_TRAIN = 20_000
-MAX_LEXICON = 4_096
+MAX_LEXICON = 4_096  # word forms of best odds; rarer marked forms beyond that are not seen
 MIN_MARKED = 5
 MIN_ODDS = 12.0
 STEMS = (4, 5, 6)  # bytes
