@@ -51,11 +51,14 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[lis
     """Moves, one-for-one and two-for-one exchanges between underfull bins while the sum of squared fills rises."""
     bins = [list(b) for b in bins]
     fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
-    stuck = np.zeros(len(bins), bool)
+    stuck, moved = np.zeros(len(bins), bool), False
     # the documents of underfull bins side by side; a slot of size 0 in each bin makes a move an exchange for nothing
     while True:
         open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
         givers = open_bins[~stuck[open_bins]]
+        if len(givers) == 0 and moved:  # room that came up since may have freed a bin that was stuck
+            stuck[:], moved = False, False
+            continue
         if len(givers) == 0 or len(open_bins) < 2:
             break
         low = givers[np.argmin(fill[givers])]
@@ -83,7 +86,7 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[lis
             bins[to] = [i for i in bins[to] if i != taken] + given
             fill[low] -= delta
             fill[to] += delta
-            stuck[to] = False
+            stuck[to], moved = False, True
             keep = owner != to
             owner, item, item_size, room = owner[keep], item[keep], item_size[keep], room[keep]
             if fill[to] < capacity:

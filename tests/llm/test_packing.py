@@ -70,3 +70,26 @@ def test_placed_covers_every_word_once(spark):
         assert not set(got.doc_id.dropna()) & {600, 601, 602} and (got.doc_id == 1).sum() == 3
         assert got.bin_id.nunique() <= 1.03 * want / P.CAPACITY + 8
     assert P.placed(docs.limit(0)).count() == 0
+
+
+def exchange_left(bins, sizes, capacity):
+    """Whether giving one or two documents for one, or one for none, still raises the sum of squared fills."""
+    fill = [int(sizes[b].sum()) for b in bins]
+    for i, mine in enumerate(bins):
+        if fill[i] == capacity:
+            continue
+        one = {int(sizes[x]) for x in mine}
+        two = {int(sizes[x] + sizes[y]) for n, x in enumerate(mine) for y in mine[:n]}
+        for j, other in enumerate(bins):
+            if i != j and fill[j] < capacity:
+                gains = {g - s for g in one for s in [0, *map(int, sizes[other])]} | {g - int(s) for g in two for s in sizes[other]}
+                if any(0 < g <= capacity - fill[j] and g > fill[i] - fill[j] for g in gains):
+                    return True
+    return False
+
+
+def test_no_exchange_is_left_for_any_seed():
+    for seed in range(60):
+        sizes = np.sort(np.random.RandomState(seed).randint(20, 200, 60))[::-1].copy()
+        bins = P.pack(sizes.tolist(), 300)
+        assert not exchange_left(bins, sizes, 300), seed
