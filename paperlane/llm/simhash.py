@@ -4,26 +4,33 @@ Every document gets a 128-bit SimHash over its word bigrams, weighted by their
 number.  Two documents are near duplicates when their codes differ in at most
 ``radius`` bits; groups are the connected components of that relation.
 
-Search is sharded: each of ``TABLES`` tables takes ``BAND_BITS`` bits of the
-code as shard number, so a query visits one shard in each table and not all
-of the corpus (sending every query to every shard would be quadratic when all
-documents are queries).  In a shard, a navigable small-world graph holds the
-nodes: waves of queries walk it with a beam that doubles until its worst
-member lies beyond the radius, link to what they met, and are inserted.  A
-shard of up to ``COMPLETE`` nodes keeps the complete graph, where the walk is
-the exact search.  Only edges whose distance was computed and holds are
-emitted, as a spanning forest of each shard; the union runs in Spark.
+Search is sharded: each table orders the bits of the code in its own way and
+takes the first of them as shard number, so many that a shard has ``SHARD``
+codes at most on average; a shard that stays too large is split by further
+bits, so no task holds a hot one.  Tables are as many as it takes for ``CAUGHT``
+of the pairs at the radius to share a shard.  (Sending every query to every
+shard would be quadratic, as all documents are queries.)  In a shard of any
+size a navigable small-world graph holds the nodes: waves of queries walk it
+with beams that expand, link to what they met, and are inserted.  Only edges
+whose distance was computed and holds are emitted, as a spanning forest of
+each shard; the union runs in Spark.
+
+Recall is audited in each run: ``AUDIT`` codes are sent to all tasks and
+compared with every node.  While less than ``RECALL`` of what is near them is
+in their groups, as many tables again follow, up to ``ROUNDS`` times; the
+recall reached is in the result.
 
 Defined results: null texts, texts without a word and rows with a null
 ``doc_id`` are in no group.  A text of one word uses that word as its only
 feature.  In the pairs, rows that repeat a ``doc_id`` count as one document
-that has all of their texts; ``keep_one`` decides on each row.  Equal codes collapse before the search, so thousands of exact
-copies cost one node.  Ties go to the smallest ``doc_id``, which each group
-keeps.
+that has all of their texts; ``keep_one`` decides on each row.  Equal codes
+collapse before the search, so thousands of exact copies cost one node.  Ties
+go to the smallest ``doc_id``, which each group keeps.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +42,22 @@ from paperlane.llm.graph import components
 from paperlane.llm.stored import settle
 
 RADIUS = 28
-TABLES = 48
-BAND_BITS = 12
-COMPLETE = 8192  # numpy compares that many codes with one in less time than a walk takes
+SHARD = 16_384  # codes that a shard has at most on average; one of twice that is split further
+CAUGHT = 0.93  # of pairs at the radius that share a shard in some table
+RECALL = 0.95  # of audited pairs; below it more tables follow
+ROUNDS = 3
+AUDIT = 256  # queries that are held against exact search
 DEGREE = 12
-BEAM = 32
+LINKS = 36
+BEAM = 16
+POOL = 64
+GROWS = 8_192  # beam and pool are as many times these as the graph has times so many nodes
+STEPS = 4
+ENTRIES = 512
 WAVE = 256
+FAR = 255
+BITS = 23  # of a pool number, for the node and whether it is open
+NODE = (1 << (BITS - 1)) - 1
 
 _LANES = np.zeros(256, np.uint64)
 for _b in range(256):
@@ -96,8 +113,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = np.bitwise_count(a ^ b)
-    return x[..., 0].astype(np.int16) + x[..., 1]
+    return np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.bitwise_count(a[..., 1] ^ b[..., 1])
 
 
 class Forest:
@@ -134,200 +150,187 @@ class Forest:
                 self.edges.append((x, y))
 
 
-def complete_edges(code: np.ndarray, radius: int, forest: Forest, base: int = 0) -> None:
-    """Join all pairs of ``code`` within ``radius``, by blocks of the distance matrix."""
-    n = len(code)
-    most, a, step = max(1, (1 << 18) // max(n, 1)), 0, 1
-    while a < n:
-        d = distance(code[a : a + step, None, :], code[None, a:, :])
-        x, y = np.nonzero(d <= radius)
-        keep = y > x
-        forest.join(base + a + x[keep], base + a + y[keep])
-        a += step
-        step = min(most, 2 * step)
-
-
 class SmallWorld:
-    """A graph over codes in which every inserted node links to near nodes that its search met, and these back."""
+    """A graph over codes in which every inserted node links to near nodes that its search met, and these back.
+
+    Many queries walk in lock-step.  Each holds a pool of the nearest nodes it
+    met as sorted numbers: distance, node, and whether the node is still to be
+    expanded.  Its beam is the front of the pool; when all of that is expanded
+    the beam doubles, as long as the last doubling brought a nearer node or
+    more nodes within the radius, and beyond the pool's end while all of the
+    pool lies within the radius.
+    """
 
-    def __init__(self, code: np.ndarray, degree: int = DEGREE, beam: int = BEAM, radius: int = RADIUS) -> None:
-        self.code, self.degree, self.beam, self.radius = code, degree, beam, radius
-        self.links = np.full((len(code), 3 * degree), -1, np.int32)
-        self.size = 0
+    def __init__(self, room: int, radius: int = RADIUS) -> None:
+        self.hi, self.lo = np.zeros(room + 1, np.uint64), np.zeros(room + 1, np.uint64)
+        self.none = np.int32(room)  # stands for no node
+        self.links = np.full((room + 1, LINKS), room, np.int32)
+        self.fill = np.zeros(room, np.int64)
+        self.radius, self.size = radius, 0
 
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` nearest nodes met by a walk from fixed entry points: ids (-1 where none) and distances."""
-        n = self.size
-        q = len(queries)
-        width = min(width, n)
-        rng = np.random.RandomState(n)
-        entry = np.unique(np.concatenate([[0], rng.randint(0, n, min(width, n))])).astype(np.int64)[:width]
-        ids = np.full((q, width), -1, np.int64)
-        dist = np.full((q, width), 999, np.int16)
-        ids[:, : len(entry)] = entry
-        dist[:, : len(entry)] = distance(queries[:, None, :], self.code[entry][None])
-        done = ids < 0
-        seen = np.zeros((q, n), bool)
-        seen[:, entry] = True
-        active = np.arange(q)
+        """Up to ``width`` near nodes by distance: ids (``none`` where there is none) and distances."""
+        many, empty = len(queries), np.int32(FAR << BITS)
+        hi, lo = queries[:, :1], queries[:, 1:]
+        entry = np.unique(np.random.RandomState(self.size).randint(0, self.size, ENTRIES)) if self.size > ENTRIES else np.arange(self.size)
+        entry = entry.astype(np.int32)
+        pool = np.full((many, max(width, len(entry)) + 1), empty, np.int32)
+        pool[:, : len(entry)] = self._keys(hi, lo, entry[None])
+        pool = np.sort(pool, axis=1)[:, : width + 1].copy()
+        pool[:, width] = empty  # beyond the pool, so that a pick of nothing has a place
+        beam, reached = np.full(many, BEAM * (1 + self.size // GROWS)), np.full(many, -1)
+        spots, active = np.arange(width), np.arange(many)
         while len(active):
-            open_dist = np.where(done[active], 1000, dist[active])
-            pick = np.argpartition(open_dist, min(3, width - 1), axis=1)[:, : min(4, width)]
-            ok = np.take_along_axis(open_dist, pick, 1) < 999
-            live = ok.any(axis=1)
-            active, pick, ok = active[live], pick[live], ok[live]
-            if not len(active):
-                break
-            here = ids[active[:, None], pick]
-            done[active[:, None], pick] |= ok
-            next_ids = self.links[np.where(ok, here, 0)].reshape(len(active), -1).astype(np.int64)
-            valid = (next_ids >= 0) & np.repeat(ok, self.links.shape[1], axis=1)
-            next_ids[~valid] = 0
-            valid &= ~seen[active[:, None], next_ids]
-            order = np.argsort(next_ids, axis=1, kind="stable")
-            in_order = np.take_along_axis(np.where(valid, next_ids, -1), order, 1)
-            same = np.zeros_like(valid)
-            same[:, 1:] = in_order[:, 1:] == in_order[:, :-1]
-            in_order[same] = -1
-            valid = in_order >= 0
-            next_ids = np.where(valid, in_order, 0)
-            seen[np.broadcast_to(active[:, None], valid.shape)[valid], next_ids[valid]] = True
-            d = np.where(valid, distance(queries[active][:, None, :], self.code[next_ids]), 999).astype(np.int16)
-            all_d = np.concatenate([dist[active], d], 1)
-            all_i = np.concatenate([ids[active], np.where(valid, next_ids, -1)], 1)
-            all_done = np.concatenate([done[active], ~valid], 1)
-            best = np.argpartition(all_d, width - 1, axis=1)[:, :width]
-            dist[active], ids[active], done[active] = (np.take_along_axis(x, best, 1) for x in (all_d, all_i, all_done))
-        return ids, dist
+            p = pool[active]
+            front = np.where((p[:, :width] & 1 == 1) & (spots < beam[active, None]), spots, width)
+            front = np.partition(front, STEPS - 1, axis=1)[:, :STEPS]
+            has = front < width
+            going = has.any(axis=1)
+            if not going.all():
+                still = active[~going]
+                worth = ((p[~going] >> BITS) <= self.radius).sum(axis=1) * 1000 + FAR - (p[~going, 0] >> BITS)
+                more = (worth > reached[still]) & (beam[still] < width)
+                reached[still] = worth
+                beam[still[more]] *= 2
+                going[~going] = more
+                active = active[going]
+                continue
+            here = np.take_along_axis(p, front, 1)
+            np.put_along_axis(p, front, here & ~np.int32(1), 1)
+            node = np.where(has, here >> 1 & NODE, self.none)
+            met = self.links[node].reshape(len(active), -1)
+            found = np.concatenate([p, self._keys(hi[active], lo[active], met)], 1)
+            found.sort(axis=1)
+            # a node met again follows itself, expanded first
+            found[:, 1:][found[:, 1:] >> 1 == found[:, :-1] >> 1] = empty
+            found.sort(axis=1)
+            pool[active, :width] = found[:, :width]
+        ids, dist = pool[:, :width] >> 1 & NODE, pool[:, :width] >> BITS
+        return np.where(dist < FAR, ids, self.none), dist
+
+    def _keys(self, hi: np.ndarray, lo: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count(self.hi[nodes] ^ hi) + np.bitwise_count(self.lo[nodes] ^ lo)  # at most 128
+        return np.where(nodes == self.none, np.int32(FAR << BITS), d.astype(np.int32) << BITS | nodes << 1 | np.int32(1))
 
     def within(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks of (query numbers, ids, distances): each query's beam doubles until it reaches beyond the radius."""
-        rest, width = np.arange(len(queries)), self.beam
+        """Blocks of (query numbers, ids, distances) of searches whose pool reaches beyond the radius; others go again with twice the pool."""
+        rest, width = np.arange(len(queries)), POOL * (1 + self.size // GROWS)
         while len(rest):
-            block = max(1, (1 << 25) // self.size)
-            found = [self.search(queries[rest[a : a + block]], width) for a in range(0, len(rest), block)]
-            ids, dist = (np.concatenate(x) for x in zip(*found, strict=True))
-            over = (dist.max(axis=1) > self.radius) | (width >= self.size)
+            ids, dist = self.search(queries[rest], width)
+            over = (dist[:, -1] > self.radius) | (width >= self.size)
             yield rest[over], ids[over], dist[over]
             rest, width = rest[~over], 2 * width
 
-    def insert(self, nodes: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
-        take = np.argsort(dist, axis=1, kind="stable")[:, : self.degree]
-        near, d = np.take_along_axis(ids, take, 1), np.take_along_axis(dist, take, 1)
-        for k, node in enumerate(nodes.tolist()):
-            row = near[k][d[k] < 999]
-            self.links[node, : len(row)] = row
-            for other in row.tolist():
-                free = np.flatnonzero(self.links[other] < 0)
-                if len(free):
-                    self.links[other, free[0]] = node
-                else:  # replace the farthest beyond the nearest ``degree``, never the oldest long links
-                    spot = self.degree + node % (2 * self.degree)
-                    self.links[other, spot] = node
-
-
-def shard_edges(code: np.ndarray, radius: int = RADIUS, complete: int = COMPLETE, wave: int = WAVE) -> list[tuple[int, int]]:
+    def insert(self, codes: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        """Add nodes, each linked to the nearest ``DEGREE`` of ``ids`` and of the nodes added with it, and these back."""
+        new = self.size + np.arange(len(codes))
+        self.hi[new], self.lo[new] = codes.T
+        own = distance(codes[:, None, :], codes[None]).astype(np.int64)
+        np.fill_diagonal(own, FAR)
+        near = np.sort(np.concatenate([dist.astype(np.int64) << 32 | ids, own << 32 | new[None]], 1), axis=1)[:, :DEGREE]
+        real = near >> 32 < FAR
+        near = np.where(real, near & 0xFFFFFFFF, self.none)
+        self.links[new, : near.shape[1]] = near
+        self.fill[new] = DEGREE
+        self.size += len(new)
+        to, back = near[real], np.repeat(new, near.shape[1])[real.ravel()]
+        order = np.argsort(to, kind="stable")
+        to, back = to[order], back[order]
+        start = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+        spot = self.fill[to] + np.arange(len(to)) - np.repeat(start, np.diff(np.append(start, len(to))))
+        # full: in place of another link back, never of a node's own first links
+        spot = np.where(spot < LINKS, spot, DEGREE + (back * 2654435761 >> 7) % (LINKS - DEGREE))
+        self.links[to, spot] = back
+        self.fill = np.minimum(self.fill + np.bincount(to, minlength=len(self.fill)), LINKS)
+
+
+def shard_edges(code: np.ndarray, radius: int = RADIUS, seed: int = 0) -> list[tuple[int, int]]:
     """A spanning forest of verified edges between the distinct codes of one shard, as index pairs.
 
-    Nodes near an already inserted one are linked to it and not inserted: the
-    graph holds centres, so a group of thousands of near copies costs few
-    nodes.  Pairs that involve a node which was not inserted are then found
-    exactly, see ``_join_between_centres``.
+    Waves of queries walk the graph and are compared among themselves.  Nodes
+    near an already inserted one are linked to it and not inserted: the graph
+    holds centres, so a group of thousands of near copies costs few nodes.
+    Pairs that involve a node which was not inserted are then found exactly,
+    see ``_join_members``.
     """
     n = len(code)
     forest = Forest(n)
-    if n <= complete:
-        complete_edges(code, radius, forest)
-        return forest.edges
     centre_of = np.arange(n)
-    order = np.random.RandomState(n).permutation(n)
-    shuffled = code[order]
-    held = np.empty(n, np.int64)  # the graph's node -> position in ``shuffled``
-    graph = SmallWorld(np.zeros_like(shuffled), radius=radius)
-    for a in range(0, n, wave):
-        spots = np.arange(a, min(a + wave, n))
+    order = np.random.RandomState(seed).permutation(n)
+    shuffled = np.ascontiguousarray(code[order])
+    held = np.empty(n + 1, np.int64)  # the graph's node -> position in ``shuffled``
+    graph = SmallWorld(n, radius)
+    for a in range(0, n, WAVE):
+        spots = np.arange(a, min(a + WAVE, n))
         q = shuffled[spots]
         fresh = np.ones(len(spots), bool)
-        near_ids = np.full((len(spots), DEGREE), -1, np.int64)
-        near_d = np.full((len(spots), DEGREE), 999, np.int16)
+        near_ids = np.full((len(spots), DEGREE), graph.none)
+        near_d = np.full((len(spots), DEGREE), FAR)
         if graph.size:
             for rows, ids, dist in graph.within(q):
-                if not len(rows):
-                    continue
                 x, y = np.nonzero(dist <= radius)
                 forest.join(order[spots[rows[x]]], order[held[ids[x, y]]])
-                hit = (dist <= radius).any(axis=1)
+                hit = dist[:, 0] <= radius
                 fresh[rows[hit]] = False
-                nearest = np.take_along_axis(ids, dist.argmin(axis=1)[:, None], 1)[:, 0]
-                centre_of[spots[rows[hit]]] = held[nearest[hit]]
-                best = np.argsort(dist, axis=1, kind="stable")[:, :DEGREE]
-                near_ids[rows[:, None], np.arange(best.shape[1])] = np.take_along_axis(ids, best, 1)
-                near_d[rows[:, None], np.arange(best.shape[1])] = np.take_along_axis(dist, best, 1)
+                centre_of[spots[rows[hit]]] = held[ids[hit, 0]]
+                near_ids[rows], near_d[rows] = ids[:, :DEGREE], dist[:, :DEGREE]
         left = np.flatnonzero(fresh)
-        taken: list[int] = []  # greedily, so that copies inside a wave also share a centre
-        if len(left):
-            d = distance(q[left][:, None, :], q[left][None])
-            owner = np.full(len(left), -1)
-            for i in range(len(left)):
-                if owner[i] < 0:
-                    taken.append(i)
-                    owner[(d[i] <= radius) & (owner < 0)] = i
-            x, y = np.nonzero(np.triu(d <= radius, 1))
-            forest.join(order[spots[left[x]]], order[spots[left[y]]])
-            centre_of[spots[left]] = spots[left[owner]]
-        new = left[np.array(taken, np.int64)] if taken else np.zeros(0, np.int64)
-        if len(new):
-            at = graph.size + np.arange(len(new))
-            graph.code[at] = q[new]
-            held[at] = spots[new]
-            d = distance(q[new][:, None, :], q[new][None])
-            np.fill_diagonal(d, 999)
-            graph.size += len(new)
-            graph.insert(at, np.concatenate([near_ids[new], np.broadcast_to(at, (len(new), len(new)))], 1), np.concatenate([near_d[new], d], 1))
-    _join_between_centres(shuffled, order, centre_of, radius, forest)
+        if not len(left):
+            continue
+        d = distance(q[left][:, None, :], q[left][None])
+        owner, taken = np.full(len(left), -1), []  # greedily, so that copies inside a wave also share a centre
+        for i in np.flatnonzero((d <= radius).sum(axis=1) > 1).tolist():
+            if owner[i] < 0:
+                owner[(d[i] <= radius) & (owner < 0)] = i
+        owner = np.where(owner < 0, np.arange(len(left)), owner)
+        taken = left[np.unique(owner)]
+        x, y = np.nonzero(np.triu(d <= radius, 1))
+        forest.join(order[spots[left[x]]], order[spots[left[y]]])
+        centre_of[spots[left]] = spots[left[owner]]
+        held[graph.size + np.arange(len(taken))] = spots[taken]
+        graph.insert(q[taken], near_ids[taken], near_d[taken])
+    _join_members(shuffled, order, centre_of, radius, forest)
     return forest.edges
 
 
-def _join_between_centres(code: np.ndarray, order: np.ndarray, centre_of: np.ndarray, radius: int, forest: Forest) -> None:
-    """Exact part: two near nodes of which one has a centre of its own are found through that centre.
-
-    A node within ``radius`` of a member lies within ``radius`` plus the
-    member's distance of the centre, so all other members can be left out.
-    """
-    centres, inverse, many = np.unique(centre_of, return_inverse=True, return_counts=True)
-    reach = np.zeros(len(centres), np.int64)
-    np.maximum.at(reach, inverse, distance(code, code[centre_of]).astype(np.int64))
-    members = np.argsort(inverse, kind="stable")
-    start = np.concatenate([[0], np.cumsum(many)])
-    crowded = np.flatnonzero(many > 1)
-    step = max(1, (1 << 20) // max(len(crowded), 1))
-    for a in range(0, len(code), step) if len(crowded) else ():
-        d = distance(code[a : a + step, None, :], code[centres[crowded]][None])
-        x, y = np.nonzero(d <= radius + reach[crowded][None])
-        label = forest.labels()
-        apart = label[order[a + x]] != label[order[centres[crowded[y]]]]
-        for i, c in zip((a + x[apart]).tolist(), crowded[y[apart]].tolist(), strict=True):
-            if forest.root(int(order[i])) != forest.root(int(order[centres[c]])):
-                others = members[start[c] : start[c + 1]]
-                hit = others[distance(code[i], code[others]) <= radius]
-                forest.join(order[np.full(len(hit), i)], order[hit])
-
-
-def _shards(hi: Column, lo: Column, tables: int, bits: int) -> Column:
-    """The shard of each table: a hash of the table's number and of ``bits`` fixed random positions of the code."""
-    rng = np.random.RandomState(71)
-    out = []
-    for t in range(tables):
-        spots = rng.choice(128, bits, replace=False)
-        masks = np.zeros(2, np.uint64)
-        np.bitwise_or.at(masks, spots // 64, np.uint64(1) << (spots % 64).astype(np.uint64))
-        own = [word.bitwiseAND(F.lit(int(m)).cast("long")) for word, m in zip((hi, lo), masks.view(np.int64), strict=True)]
-        out.append(F.xxhash64(F.lit(t), *own))
-    return F.array(*out)
-
-
-def edges(nodes: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: int = BAND_BITS, complete: int = COMPLETE) -> DataFrame:
-    """Verified edges (a, b) between the ids of ``nodes`` (id, hi, lo)."""
+def _join_members(code: np.ndarray, order: np.ndarray, centre_of: np.ndarray, radius: int, forest: Forest) -> None:
+    """Exact part: the nodes that were not inserted are compared with all of the shard, in blocks."""
+    members = np.flatnonzero(centre_of != np.arange(len(code)))
+    step = max(1, (1 << 18) // len(code))
+    for a in range(0, len(members), step):
+        some = members[a : a + step]
+        x, y = np.nonzero(distance(code[some, None, :], code[None]) <= radius)
+        forest.join(order[some[x]], order[y])
+
+
+def _shard(hi: Column, lo: Column, table: int, bits: int) -> Column:
+    """A hash of the table's number and of the first ``bits`` of its own order of the code's positions."""
+    spots = np.random.RandomState(71 + table).permutation(128)[:bits]
+    masks = np.zeros(2, np.uint64)
+    np.bitwise_or.at(masks, spots // 64, np.uint64(1) << (spots % 64).astype(np.uint64))
+    own = [word.bitwiseAND(F.lit(int(m)).cast("long")) for word, m in zip((hi, lo), masks.view(np.int64), strict=True)]
+    return F.xxhash64(F.lit(table), F.lit(bits), *own)
+
+
+def sharded(nodes: DataFrame, tables: range, bits: int, most: int) -> DataFrame:
+    """(shard, id, hi, lo) of every node once in each table; shards of more than ``most`` are split by further bits until none is left."""
+    spark = nodes.sparkSession
+    at = lambda bits: F.array(*[F.struct(F.lit(t).alias("table"), _shard(F.col("hi"), F.col("lo"), t, bits).alias("shard")) for t in tables])
+    left = nodes.select(F.explode(at(bits)).alias("key"), "id", "hi", "lo").select("key.table", "key.shard", "id", "hi", "lo")
+    done = None
+    while True:
+        full = settle(spark, left.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("shard"), "full")
+        split = bits < 128 and not full.isEmpty()
+        fit = left.join(full, "shard", "left_anti") if split else left
+        done = fit if done is None else done.unionByName(fit)
+        if not split:
+            return done.select("shard", "id", "hi", "lo")
+        bits = min(bits + 2, 128)
+        left = left.join(full, "shard", "left_semi").withColumn("shard", F.get(at(bits)["shard"], F.col("table") - tables.start))
+
+
+def edges(nodes: DataFrame, many: int, tables: range, bits: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """Verified edges (a, b) between the ids of ``nodes`` (id, hi, lo), ``many`` of them, that share a shard in one of ``tables``."""
 
     def flush(part: list[np.ndarray]) -> pa.RecordBatch | None:
         block = np.concatenate(part)
@@ -337,7 +340,7 @@ def edges(nodes: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: in
             if b - a < 2:
                 continue
             ids = block[a:b, 1]
-            for x, y in shard_edges(np.ascontiguousarray(block[a:b, 2:]).view(np.uint64), radius, complete):
+            for x, y in shard_edges(np.ascontiguousarray(block[a:b, 2:]).view(np.uint64), radius, int(block[a, 0]) % (1 << 32)):
                 left.append(ids[x])
                 right.append(ids[y])
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"]) if left else None
@@ -358,19 +361,53 @@ def edges(nodes: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: in
         if kept and (done := flush(kept)) is not None:
             yield done
 
-    keyed = nodes.select(F.explode(_shards(F.col("hi"), F.col("lo"), tables, bits)).alias("shard"), "id", "hi", "lo")
-    return keyed.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(run, "a long, b long").distinct()
+    parts = -(-many * len(tables) // (2 * shard)) or 1  # said, as the time goes by nodes and not by bytes
+    return sharded(nodes, tables, bits, 4 * shard).repartition(parts, "shard").sortWithinPartitions("shard", "id").mapInArrow(run, "a long, b long").distinct()
+
+
+def audit(nodes: DataFrame, roots: DataFrame, radius: int = RADIUS, queries: int = AUDIT) -> float:
+    """Recall against exact search: of the nodes near each of ``queries`` nodes (the lowest by hash), the mean part in its group; 1 where nothing is near.
 
+    The queries are rows of fixed size and number, sent to all tasks, and are compared with every node; each task sends two sums a query.
+    """
+    spark = nodes.sparkSession
+    known = settle(spark, nodes.join(roots.dropDuplicates(["id"]), "id", "left").select("hi", "lo", F.coalesce("root", "id").alias("root")), "audited")
+    asked = np.array([tuple(r) for r in known.orderBy(F.xxhash64("hi", "lo"), "hi", "lo").limit(queries).collect()], np.int64).reshape(-1, 3)
+    code = np.ascontiguousarray(asked[:, :2]).view(np.uint64)
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: int = BAND_BITS, complete: int = COMPLETE) -> DataFrame:
-    """One row for each document that is not the kept one of its group: (doc_id, kept_doc_id)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, same = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        for b in batches:
+            block = np.stack([b.column(k).to_numpy() for k in ("hi", "lo", "root")], axis=1)
+            for a in range(0, len(block), 512):
+                d = distance(code[:, None, :], np.ascontiguousarray(block[a : a + 512, :2]).view(np.uint64)[None])
+                x, y = np.nonzero((d <= radius) & (d > 0))
+                near += np.bincount(x, minlength=len(asked))
+                same += np.bincount(x[asked[x, 2] == block[a + y, 2]], minlength=len(asked))
+        at = np.flatnonzero(near)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(near[at]), pa.array(same[at])], ["query", "near", "same"])
+
+    sums = known.mapInArrow(run, "query long, near long, same long").groupBy("query").agg((F.sum("same") / F.sum("near")).alias("part"))
+    mean = sums.agg(F.avg("part")).first()[0] if len(asked) else None
+    return 1.0 if mean is None else mean
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """One row for each document that is not the kept one of its group: (doc_id, kept_doc_id, audited_recall)."""
     spark = docs.sparkSession
     sig = settle(spark, signatures(docs), "signatures")
     nodes = settle(spark, sig.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "nodes")
-    found = edges(nodes, radius, tables, bits, complete)
-    same_code = sig.join(nodes, ["hi", "lo"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    links = settle(spark, found.unionByName(same_code), "links")
-    return components(links).filter("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id"))
+    many = nodes.count()
+    bits = max(0, math.ceil(math.log2(max(many, 1) / shard)))
+    tables = math.ceil(math.log(1 - CAUGHT) / math.log(1 - (1 - radius / 128) ** bits)) if bits and radius else 1
+    links = settle(spark, sig.join(nodes, ["hi", "lo"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "links")
+    for k in range(ROUNDS):
+        links = links.unionByName(settle(spark, edges(nodes, many, range(k * tables, (k + 1) * tables), bits, radius, shard), "links"))
+        roots = components(links)
+        recall = audit(nodes, roots, radius)
+        if recall >= RECALL:
+            break
+    return roots.filter("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id"), F.lit(recall).alias("audited_recall"))
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:

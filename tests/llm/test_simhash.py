@@ -11,7 +11,9 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def exact_groups(code):
     forest = S.Forest(len(code))
-    S.complete_edges(code, S.RADIUS, forest)
+    for a in range(0, len(code), 64):
+        x, y = np.nonzero(np.bitwise_count(code[a : a + 64, None] ^ code[None]).sum(axis=2) <= S.RADIUS)
+        forest.join(a + x, y)
     return forest
 
 
@@ -29,23 +31,44 @@ def test_code_is_the_weighted_vote_of_its_bigrams():
             assert int(code[row, half]) == sum(1 << i for i in range(64) if bits[i])
 
 
-def test_graph_recall_against_exact_search():
-    rng = np.random.RandomState(5)
-    base = rng.randint(0, 2**63, (1500, 2), dtype=np.int64).view(np.uint64)
-    near = base[rng.randint(0, 300, 1500)].copy()
-    for row in near:
-        for bit in rng.choice(128, rng.randint(1, 20), replace=False):
+def apart(rng, base, least, most):
+    """Copies of ``base`` with ``least`` to ``most`` bits changed."""
+    out = base.copy()
+    for row in out:
+        for bit in rng.choice(128, rng.randint(least, most + 1), replace=False):
             row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    code = np.unique(np.concatenate([base, near]), axis=0)
-    edges = S.shard_edges(code, complete=64)
-    assert all(S.distance(code[x], code[y]) <= S.RADIUS for x, y in edges)
-    found, want = S.Forest(len(code)), exact_groups(code)
-    found.join(*np.array(edges).T)
-    hits = [found.root(x) == found.root(y) for x, y in want.edges]
-    assert np.mean(hits) >= 0.95
+    return out
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("n", [300, 3000, 7000, 20_000])
+def test_graph_recall_of_isolated_pairs_and_groups(n):
+    rng = np.random.RandomState(n)
+    base = rng.randint(0, 2**63, (n, 2), dtype=np.int64).view(np.uint64)
+    pairs, group = apart(rng, base[: n // 10], 20, 28), apart(rng, np.repeat(base[-1:], n // 10, axis=0), 1, 12)
+    code = np.concatenate([base, pairs, group])
+    edges = np.array(S.shard_edges(code, seed=n))
+    assert (S.distance(code[edges[:, 0]], code[edges[:, 1]]) <= S.RADIUS).all()
+    found = S.Forest(len(code))
+    found.join(*edges.T)
+    label = found.labels()
+    assert np.mean(label[: n // 10] == label[n : n + len(pairs)]) >= 0.9
+    assert np.mean(label[n + len(pairs) :] == label[n - 1]) == 1
+
+
+def test_walk_meets_a_part_of_a_large_shard_only():
+    rng = np.random.RandomState(1)
+    code = rng.randint(0, 2**63, (12_000, 2), dtype=np.int64).view(np.uint64)
+    met, keys = [0], S.SmallWorld._keys
+    try:
+        S.SmallWorld._keys = lambda self, hi, lo, nodes: met.__setitem__(0, met[0] + len(hi) * nodes.shape[1]) or keys(self, hi, lo, nodes)
+        S.shard_edges(code)
+    finally:
+        S.SmallWorld._keys = keys
+    assert met[0] < len(code) * 5000
+
+
+@pytest.mark.parametrize("shard", [S.SHARD, 300, 60])
+def test_near_duplicates_against_brute_force(spark, shard):
     table = pq.read_table(DATA)
     w = A.folded_words(table.column("text").combine_chunks())
     code, count = S.codes(w, len(table))
@@ -55,9 +78,26 @@ def test_near_duplicates_against_brute_force(spark):
     for i in range(len(ids)):
         want.setdefault(forest.root(i), []).append(int(ids[i]))
     expected = {(x, min(g)) for g in want.values() for x in g if x != min(g)}
-    got = {(r.doc_id, r.kept_doc_id) for r in S.near_duplicates(spark.read.parquet(DATA)).collect()}
-    assert len(got & expected) >= 0.97 * len(expected)
-    assert len(got - expected) <= 0.03 * len(expected)
+    rows = S.near_duplicates(spark.read.parquet(DATA), shard=shard).collect()
+    got = {(r.doc_id, r.kept_doc_id) for r in rows}
+    if shard > len(ids):
+        assert got == expected
+    assert len(got & expected) >= 0.95 * len(expected) and len(got - expected) <= 0.05 * len(expected)
+    assert all(r.audited_recall >= S.RECALL for r in rows)
+
+
+def test_hot_shards_are_split_and_no_node_is_lost(spark):
+    rng = np.random.RandomState(2)
+    hot = apart(rng, np.repeat(rng.randint(0, 2**63, (1, 2), dtype=np.int64).view(np.uint64), 900, axis=0), 1, 9)
+    code = np.unique(np.concatenate([hot, rng.randint(0, 2**63, (1100, 2), dtype=np.int64).view(np.uint64)]), axis=0).view(np.int64)
+    nodes = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(code)], "id long, hi long, lo long")
+    got = S.sharded(nodes, range(3, 5), 4, 500).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in got) == 2 * len(code) and max(r["count"] for r in got) <= 500
+    roots = components(S.edges(nodes, len(code), range(3, 6), 4, shard=125))
+    groups = {r.id: r.root for r in roots.collect()}
+    members = [i for i, c in enumerate(code.view(np.uint64)) if S.distance(c, hot[0]) <= 18]
+    assert np.mean([groups.get(i) == groups[members[0]] for i in members]) > 0.98
+    assert S.audit(nodes, roots) > 0.9 and S.audit(nodes, roots.limit(0)) == 0 and S.audit(nodes.limit(0), roots) == 1
 
 
 def test_edges_of_data(spark):
@@ -74,6 +114,7 @@ def test_edges_of_data(spark):
     for extra in (docs, docs.selectExpr("*", "1 AS id", "2 AS hi", "3 AS a", "4 AS root", "5 AS shard")):
         got = {(r.doc_id, r.kept_doc_id) for r in S.near_duplicates(extra).collect()}
         assert got == {(2, 1), (7, 6), (9, 8)}
+        assert S.near_duplicates(extra, shard=2).columns == ["doc_id", "kept_doc_id", "audited_recall"]
         kept = S.keep_one(extra)
         assert kept.columns == extra.columns
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "None", "6", "8"])
