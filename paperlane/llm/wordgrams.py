@@ -2,34 +2,40 @@
 
 The model is of order ``ORDER`` over folded words, from all n-grams of all
 documents, so it grows with the corpus.  Counts are smoothed by interpolated
-absolute discounting; n-grams of three words on that occur less than
-``CUTOFF`` times are left to backoff:
+absolute discounting, and none is dropped:
 
-    p(w | h) = (c(hw) - D) / c(h) + gamma(h) p(w | h')     hw kept
+    p(w | h) = (c(hw) - D) / c(h) + gamma(h) p(w | h')     hw occurs
     p(w | h) =                      gamma(h) p(w | h')     otherwise
 
-with h' one word shorter, gamma(h) the mass that is left, and below the
-uniform distribution over the corpus's distinct words.  A state is a history of
-up to ``ORDER - 1`` words; it has an arc for each kept continuation, with its
-log-probability, and a failure arc of weight log gamma to the history one word
-shorter.  A state follows from at most ``ORDER - 1`` words, so all words of a
-bucket move at once: each takes failure arcs until one of its states has an
-arc.
+with h' one word shorter, gamma(h) = D times the number of different words
+after h over c(h), or 1 where h doesn't occur, and below all the uniform
+distribution over the corpus's distinct words and the unknown word.  A state is
+a history of up to ``ORDER - 1`` words; it has an arc for each word that occurs
+after it, with its log-probability, and a failure arc of weight log gamma to
+the history one word shorter.  A text is read from left to right: a state
+follows from at most ``ORDER - 1`` words, so all words of a bucket move at
+once, and each takes failure arcs until one of its states has an arc.  Texts of
+the corpus find an arc at their longest history; others (``corpus``) back off.
 
 Nothing is sent to all tasks, whatever the model's size.  Documents are
 gathered in buckets of about ``BUCKET_BYTES``; a bucket sends its distinct
 n-grams to the part that owns their history, parts add up and answer each
 bucket in the order in which it asked, and the bucket builds the automaton that
 its own n-grams reach.  Words are owned by their own hash, so the empty history
-is not in one place; all continuations of one other history are.
-
-N-grams are known by 64-bit hashes.  Defined results: a null text has a null
-score, a text without a word scores 0 with null bits.  Every row counts and is
-scored by itself, also one that repeats a ``doc_id`` or has none.
+is not in one place; all continuations of one other history are.  A bucket's
+share of a hot history is one row, however often it occurs.  Asking and reading
+use one shuffle of the texts.
+
+Within a part a history is known by 40 bits of its hash and a word after it by
+32: about one history in a million meets another, at any size of the corpus.
+Defined results: a null text has a null score, a text without a word scores 0
+with null bits.  Every row counts and is scored by itself, also one that repeats
+a ``doc_id`` or has none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +44,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from paperlane.llm import arrays as A
-from paperlane.llm.stored import settle
 
 ORDER = 3
 DISCOUNT = 0.75
-CUTOFF = 2
 BUCKET_BYTES = 8 << 20
+HISTORY_BYTES = 5
 
 
 @dataclass
@@ -52,17 +57,17 @@ class Grams:
 
     at: np.ndarray
     spot: np.ndarray
-    gram: np.ndarray
+    word: np.ndarray
     n: np.ndarray
     history: np.ndarray
     many: np.ndarray
 
 
-def grams(words: A.Words) -> list[Grams]:
-    """All orders; a history of an order has its own n-grams in a row, and words are their own histories."""
+def grams(words: A.Words, counted: np.ndarray | None = None) -> list[Grams]:
+    """All orders; a history of an order has its own n-grams in a row, and words are their own histories.  ``counted`` says which texts count."""
     h, row = words.hash, words.row
     out: list[Grams] = []
-    value = A.mix(h + np.uint64(0x9E3779B97F4A7C15))
+    single = value = A.mix(h + np.uint64(0x9E3779B97F4A7C15))
     for k in range(1, ORDER + 1):
         at = np.arange(k - 1, len(h))
         at = at[row[at] == row[at - k + 1]]
@@ -73,12 +78,13 @@ def grams(words: A.Words) -> list[Grams]:
             here = A.mix(before * np.uint64(0x9FB21C651E98DF25) + h[at])
             value = np.zeros(len(h), np.uint64)
             value[at] = here
-        _, first, inverse, n = np.unique(here, return_index=True, return_inverse=True, return_counts=True)
+        _, first, inverse = np.unique(here, return_index=True, return_inverse=True)
+        n = np.bincount(inverse, None if counted is None else counted[row[at]], len(first)).astype(np.int64)
         order = np.argsort(before[first], kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         history, many = np.unique(before[first], return_counts=True)
-        out.append(Grams(at, rank[inverse], here[first][order], n[order], history, many))
+        out.append(Grams(at, rank[inverse], single[at[first[order]]], n[order], history, many))
     return out
 
 
@@ -91,36 +97,60 @@ def _of(table: pa.Table) -> A.Words:
     return A.folded_words(table.column("text").combine_chunks())
 
 
-_ASKED = "part long, bucket long, k int, history array<long>, many array<int>, gram array<long>, n array<int>"
-_ANSWERED = "bucket long, k int, part long, n array<long>, c array<long>, kept_n array<long>, kept_many array<long>"
+def _blobs(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """A binary for each stretch of ``values`` between the borders ``edge``."""
+    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer((edge * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _joined(rows: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows' binaries, and how many each row has."""
+    column = rows.column(name)
+    size = pc.binary_length(column).to_numpy() // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), kind), size
+
+
+def _numbers(name: str, values: np.ndarray, edge: np.ndarray) -> dict[str, pa.Array]:
+    """Whole numbers as one byte each, and those from 255 on once more in full."""
+    big = values >= 255
+    above = np.concatenate([[0], np.cumsum(big)])[edge]
+    return {name: _blobs(np.minimum(values, 255).astype(np.uint8), edge), f"{name}_big": _blobs(values[big].astype(np.int64), above)}
+
+
+def _read(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    low, size = _joined(rows, name, np.uint8)
+    out = low.astype(np.int64)
+    out[low == 255] = _joined(rows, f"{name}_big", np.int64)[0]
+    return out, size
+
+
+_ASKED = "part long, bucket long, k int, history binary, word binary, many binary, many_big binary, n binary, n_big binary"
+_ANSWERED = "bucket long, k int, part long, n binary, n_big binary, c binary, c_big binary, kinds binary, kinds_big binary"
+_SCORES = "doc_id long, n_bytes long, logprob double, bits_per_byte double"
+
+
+def _none(schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.table({n: pa.array([], kinds[t]) for n, t in (c.split() for c in schema.split(", "))})
 
 
 def _ask(table: pa.Table, parts: int) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     found = []
-    for k, g in enumerate(grams(_of(table)), 1):
+    for k, g in enumerate(grams(_of(table), table.column("counted").to_numpy().astype(float)), 1):
         part, first = np.unique(_part(g.history, parts), return_index=True)
         if not len(part):
             continue
         edge = np.append(first, len(g.history))
         inner = np.concatenate([[0], np.cumsum(g.many)])[edge]
+        history = np.ascontiguousarray(g.history).view(np.uint8).reshape(-1, 8)[:, :HISTORY_BYTES]
         found.append(
             pa.table({
                 "part": part, "bucket": np.full(len(part), bucket), "k": np.full(len(part), k, np.int32),
-                "history": A.lists(A.as_signed(g.history), edge), "many": A.lists(pa.array(g.many.astype(np.int32)), edge),
-                "gram": A.lists(A.as_signed(g.gram), inner), "n": A.lists(pa.array(g.n.astype(np.int32)), inner),
+                "history": _blobs(history, edge), "word": _blobs(g.word.astype(np.uint32), inner), **_numbers("many", g.many, edge), **_numbers("n", g.n, inner),
             })
         )
-    return pa.concat_tables(found) if found else pa.table({"part": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "k": pa.array([], pa.int32()), **{c: pa.array([], pa.list_(t)) for c, t in (("history", pa.int64()), ("many", pa.int32()), ("gram", pa.int64()), ("n", pa.int32()))}})
-
-
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a list column and the borders of its rows."""
-    column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    offsets = column.offsets.to_numpy()
-    return column.flatten().to_numpy(), offsets - (offsets[0] if len(offsets) else 0)
+    return pa.concat_tables(found) if found else _none(_ASKED)
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -130,43 +160,38 @@ def _answer(table: pa.Table) -> pa.Table:
         rows = table.filter(pc.equal(table.column("k"), k))
         if not rows.num_rows:
             continue
-        (history, edge), (many, _), (gram, inner), (n, _) = (_flat(rows.column(c)) for c in ("history", "many", "gram", "n"))
-        _, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+        octets = _joined(rows, "history", np.uint8)[0].reshape(-1, HISTORY_BYTES)
+        history = np.zeros((len(octets), 8), np.uint8)
+        history[:, :HISTORY_BYTES] = octets
+        (many, histories), (word, words), (n, _) = _read(rows, "many"), _joined(rows, "word", np.uint32), _read(rows, "n")
+        distinct, asked = np.unique(history.view(np.int64).ravel(), return_inverse=True)
+        _, first, inverse = np.unique(np.repeat(asked, many) << 32 | word, return_index=True, return_inverse=True)
         total = np.bincount(inverse, n, len(first)).astype(np.int64)
-        _, asked = np.unique(history, return_inverse=True)
         own = np.repeat(asked, many)[first]
-        size = int(asked.max()) + 1
-        kept = np.ones(len(total), bool) if k <= 2 else total >= CUTOFF
-        c, kept_n = (np.bincount(own, x, size).astype(np.int64) for x in (total, total * kept))
-        kept_many = np.bincount(own, kept, size).astype(np.int64)
-        out.append(
-            pa.table({
-                "bucket": rows.column("bucket"), "k": rows.column("k"), "part": np.full(rows.num_rows, part),
-                "n": A.lists(pa.array(total[inverse]), inner), **{name: A.lists(pa.array(x[asked]), edge) for name, x in (("c", c), ("kept_n", kept_n), ("kept_many", kept_many))},
-            })
-        )
-        if k == 1:  # the empty history: distinct words and all words, in a row without a bucket
-            out.append(pa.table({"bucket": np.array([-1]), "k": np.array([1], np.int32), "part": np.array([part]), "n": A.lists(pa.array([len(total)]), np.array([0, 1])), "c": A.lists(pa.array([int(total.sum())]), np.array([0, 1])), "kept_n": A.lists(pa.array([0]), np.array([0, 1])), "kept_many": A.lists(pa.array([0]), np.array([0, 1]))}))
+        c = np.bincount(own, total, len(distinct)).astype(np.int64)
+        kinds = np.bincount(own, total > 0, len(distinct)).astype(np.int64)
+        edge, inner = (np.concatenate([[0], np.cumsum(x)]) for x in (histories, words))
+        out.append(pa.table({"bucket": rows.column("bucket"), "k": rows.column("k"), "part": np.full(rows.num_rows, part), **_numbers("n", total[inverse], inner), **_numbers("c", c[asked], edge), **_numbers("kinds", kinds[asked], edge)}))
     return pa.concat_tables(out)
 
 
 def _weights(words: A.Words, answers: pa.Table, distinct: int, total: int) -> np.ndarray:
     """The weight of the path that each word of a bucket takes: failure arcs, then the arc of the word."""
-    arc = np.full(len(words.hash), 1.0 / max(distinct, 1))
+    arc = np.full(len(words.hash), 1.0 / (distinct + 1))
     path = np.zeros(len(words.hash))
     for k, g in enumerate(grams(words), 1):
         rows = answers.filter(pc.equal(answers.column("k"), k)).sort_by("part")
         if not len(g.at):
             continue
-        n, c, kept_n, kept_many = (_flat(rows.column(x))[0] for x in ("n", "c", "kept_n", "kept_many"))
+        n = _read(rows, "n")[0]
         if k == 1:
-            c, gamma = np.array([total]), np.array([DISCOUNT * distinct / total])
-            of = np.zeros(len(n), np.int64)
+            c, kinds, of = np.array([total]), np.array([distinct]), np.zeros(len(n), np.int64)
         else:
-            gamma = 1 - (kept_n - DISCOUNT * kept_many) / c
+            c, kinds = _read(rows, "c")[0], _read(rows, "kinds")[0]
             of = np.repeat(np.arange(len(c)), g.many)
-        has = (n >= CUTOFF) | (k <= 2)
-        own = np.where(has, (n - DISCOUNT) / c[of], 0.0)
+        gamma = np.where(c > 0, DISCOUNT * kinds / np.maximum(c, 1), 1.0)
+        has = n > 0
+        own = np.where(has, (n - DISCOUNT) / np.maximum(c[of], 1), 0.0)
         taken, back = has[g.spot], gamma[of][g.spot]
         with_arc, without = g.at[taken], g.at[~taken]
         # an arc holds the interpolated probability, so the failure arcs below it are in the number already
@@ -176,26 +201,40 @@ def _weights(words: A.Words, answers: pa.Table, distinct: int, total: int) -> np
     return path + np.log(arc)
 
 
-def scores(docs: DataFrame, bucket: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, logprob, bits_per_byte) of every row under the model of them all."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _vocabulary(docs: DataFrame) -> tuple[int, int]:
+    """Distinct words and all words of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in A.slices(batches, "text", BUCKET_BYTES):
+            word, n = np.unique(A.folded_words(batch.column("text")).hash, return_counts=True)
+            yield pa.RecordBatch.from_arrays([A.as_signed(word), pa.array(n)], ["word", "n"])
+
+    one = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = one.agg(F.count("*"), F.sum("n")).first()
+    return found[0], found[1] or 0
+
+
+def scores(docs: DataFrame, bucket: int = BUCKET_BYTES, corpus: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_bytes, logprob, bits_per_byte) of every row under the model of ``corpus``, or of them all."""
+    own = corpus is None
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(own).alias("counted"), F.lit(True).alias("scored"))
+    if not own:
+        texts = texts.unionByName(corpus.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(True).alias("counted"), F.lit(False).alias("scored")))
+    distinct, total = _vocabulary(texts.filter("counted"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // bucket))
     keyed = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-    answers = settle(spark, keyed.groupBy("bucket").applyInArrow(lambda t: _ask(t, parts), _ASKED).groupBy("part").applyInArrow(_answer, _ANSWERED), "answers")
-    root = answers.filter("bucket = -1").agg(F.sum(F.col("n")[0]), F.sum(F.col("c")[0])).first()
-    distinct, total = root[0] or 0, root[1] or 0
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "logprob": pa.array([], pa.float64()), "bits_per_byte": pa.array([], pa.float64())})
+            return _none(_SCORES)
         words = _of(rows)
         none = rows.column("text").is_null().to_numpy()
         octets = pc.binary_length(rows.column("text")).fill_null(0).to_numpy().astype(np.int64)
         logprob = np.bincount(words.row, _weights(words, told, distinct, total), rows.num_rows).astype(float)
         bits = -logprob / np.log(2) / np.maximum(octets, 1)
         wordless = np.diff(words.first) == 0
-        return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(octets, mask=none), "logprob": pa.array(logprob, mask=none), "bits_per_byte": pa.array(bits, mask=none | wordless)})
+        return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(octets, mask=none), "logprob": pa.array(logprob, mask=none), "bits_per_byte": pa.array(bits, mask=none | wordless)}).filter(rows.column("scored"))
 
-    return keyed.groupBy("bucket").cogroup(answers.filter("bucket >= 0").groupBy("bucket")).applyInArrow(run, "doc_id long, n_bytes long, logprob double, bits_per_byte double")
+    answers = keyed.groupBy("bucket").applyInArrow(lambda t: _ask(t, parts), _ASKED).groupBy("part").applyInArrow(_answer, _ANSWERED)
+    return keyed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, _SCORES)

@@ -19,35 +19,50 @@ class Brute:
         for w in texts:
             for k in range(1, M.ORDER + 1):
                 self.n.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
-        self.kept = {g for g, n in self.n.items() if len(g) <= 2 or n >= M.CUTOFF}
-        self.c, self.mass = Counter(), Counter()
+        self.c, self.kinds = Counter(), Counter()
         for g, n in self.n.items():
             self.c[g[:-1]] += n
-            if g in self.kept:
-                self.mass[g[:-1]] += n - M.DISCOUNT
-        self.words = sum(len(g) == 1 for g in self.n)
+            self.kinds[g[:-1]] += 1
 
     def p(self, h, w):
-        gamma = 1 - self.mass[h] / self.c[h]
-        below = self.p(h[1:], w) if h else 1 / self.words
-        return ((self.n[(*h, w)] - M.DISCOUNT) / self.c[h] if (*h, w) in self.kept else 0) + gamma * below
+        below = self.p(h[1:], w) if h else 1 / (self.kinds[()] + 1)
+        if not self.c[h]:
+            return below
+        return max(self.n[(*h, w)] - M.DISCOUNT, 0) / self.c[h] + M.DISCOUNT * self.kinds[h] / self.c[h] * below
 
     def score(self, w):
         return sum(math.log(self.p(tuple(w[max(0, i - M.ORDER + 1) : i]), w[i])) for i in range(len(w)))
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("held_out", [False, True])
+def test_against_brute_force(spark, held_out):
     table = pq.read_table(f"{SF}/documents.parquet")
-    words = A.fold_list(table.column("text").combine_chunks())
-    brute = Brute(words)
-    assert sum(brute.p((), g[0]) for g in brute.n if len(g) == 1) == pytest.approx(1)
-    want = {d: brute.score(w) for d, w in zip(table.column("doc_id").to_pylist(), words, strict=True)}
+    words = dict(zip(table.column("doc_id").to_pylist(), A.fold_list(table.column("text").combine_chunks()), strict=True))
+    brute = Brute(w for d, w in words.items() if not held_out or d % 3)
+    assert sum(brute.p((), g[0]) for g in brute.n if len(g) == 1) + brute.p((), "unknown") == pytest.approx(1)
+    h = next(g for g in brute.n if len(g) == 2 and brute.c[g] > 1)
+    assert sum(brute.p(h, g[0]) for g in brute.n if len(g) == 1) + brute.p(h, "unknown") == pytest.approx(1)
+    want = {d: brute.score(w) for d, w in words.items() if not held_out or d % 3 == 0}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     for bucket in (M.BUCKET_BYTES, 30000):
-        got = M.scores(spark.read.parquet(f"{SF}/documents.parquet"), bucket).collect()
+        got = (M.scores(docs.filter("doc_id % 3 = 0"), bucket, docs.filter("doc_id % 3 <> 0")) if held_out else M.scores(docs, bucket)).collect()
         assert len(got) == len(want)
         assert all(r.logprob == pytest.approx(want[r.doc_id], abs=1e-6) for r in got)
 
 
+def test_texts_are_shuffled_once(spark):
+    scored = M.scores(spark.read.parquet(f"{SF}/documents.parquet"))
+    scored.collect()
+    assert "ReusedExchange" in scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_counts_beyond_a_byte(spark):
+    docs = spark.createDataFrame([(i, "a b c d " * 90, "en", "s", 1) for i in range(9)], DOCS)
+    brute = Brute([("a", "b", "c", "d") * 90] * 9)
+    for bucket in (M.BUCKET_BYTES, 700):
+        assert all(r.logprob == pytest.approx(brute.score(("a", "b", "c", "d") * 90), abs=1e-6) for r in M.scores(docs, bucket).collect())
+
+
 def test_order_of_words_matters_and_the_query_uses_it(spark, tmp_path):
     line = "the old miller carried seven heavy sacks of grain across a narrow wooden bridge".split()
     rows = [(i, " ".join(line), "en", "s", 1) for i in range(20)] + [(99, " ".join(sorted(line)), "en", "s", 1)]
@@ -58,7 +73,7 @@ def test_order_of_words_matters_and_the_query_uses_it(spark, tmp_path):
 
 def test_grams_grow_with_the_corpus():
     text = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").combine_chunks()
-    few, all_ = (len(M.grams(A.folded_words(t))[-1].gram) for t in (text.slice(0, len(text) // 5), text))
+    few, all_ = (len(M.grams(A.folded_words(t))[-1].word) for t in (text.slice(0, len(text) // 5), text))
     assert all_ > 3 * few
 
 
