@@ -1,33 +1,32 @@
 """Language-model scores from a weighted backoff automaton over words.
 
-The model is of order ``ORDER`` over folded words, from all n-grams of all
-documents, so it grows with the corpus.  Counts are smoothed by interpolated
-absolute discounting, and none is dropped:
-
-    p(w | h) = (c(hw) - D) / c(h) + gamma(h) p(w | h')     hw occurs
-    p(w | h) =                      gamma(h) p(w | h')     otherwise
-
-with h' one word shorter, gamma(h) = D times the number of different words
-after h over c(h), or 1 where h doesn't occur, and below all the uniform
-distribution over the corpus's distinct words and the unknown word.  A state is
-a history of up to ``ORDER - 1`` words; it has an arc for each word that occurs
-after it, with its log-probability, and a failure arc of weight log gamma to
-the history one word shorter.  A text is read from left to right: a state
-follows from at most ``ORDER - 1`` words, so all words of a bucket move at
-once, and each takes failure arcs until one of its states has an arc.  Texts of
-the corpus find an arc at their longest history; others (``corpus``) back off.
+The model is of order three over folded words, from all n-grams of all
+documents, so it grows with the corpus; none is dropped.  Counts are smoothed
+by a Dirichlet prior on the history one word shorter (h'):
+
+    p(w | h) = (c(hw) + PRIOR p(w | h')) / (c(h) + PRIOR)
+
+c(h) counts the words after h; below all, a word has its count over all words
+and one more, and a word that doesn't occur has that one.  A state is a history
+of up to two words; it has an arc for each word that occurs after it, with its
+log-probability, and a failure arc of weight log(PRIOR / (c(h) + PRIOR)) to the
+history one word shorter.  A text is read from left to right: a state follows
+from at most two words, so all words of a bucket move at once, and each takes
+failure arcs until one of its states has an arc.  Texts of the corpus find an
+arc at their longest history; others (``corpus``) back off.
 
 Nothing is sent to all tasks, whatever the model's size.  Documents are
 gathered in buckets of about ``BUCKET_BYTES``; a bucket sends its distinct
-n-grams to the part that owns their history, parts add up and answer each
+n-grams to the parts that own their histories, parts add up and answer each
 bucket in the order in which it asked, and the bucket builds the automaton that
 its own n-grams reach.  Words are owned by their own hash, so the empty history
 is not in one place; all continuations of one other history are.  A bucket's
 share of a hot history is one row, however often it occurs.  Asking and reading
 use one shuffle of the texts.
 
-Within a part a history is known by 40 bits of its hash and a word after it by
-32: about one history in a million meets another, at any size of the corpus.
+Within a part a history is known by 40 bits of its hash, at any size of the
+corpus, and a word after two others by 24: among a thousand words after the
+same two, some two are taken for one with a chance of 3 %.
 Defined results: a null text has a null score, a text without a word scores 0
 with null bits.  Every row counts and is scored by itself, also one that repeats
 a ``doc_id`` or has none.
@@ -45,47 +44,54 @@ from pyspark.sql import DataFrame, functions as F
 
 from paperlane.llm import arrays as A
 
-ORDER = 3
-DISCOUNT = 0.75
-BUCKET_BYTES = 8 << 20
+PRIOR = 4.0
+BUCKET_BYTES = 4 << 20
 HISTORY_BYTES = 5
+WORD_BYTES = 3
 
 
 @dataclass
 class Grams:
-    """The distinct n-grams of one order in a bucket, by history; ``spot`` has the number of each at its last words ``at``."""
+    """The distinct words and bigrams of a bucket by hash, and trigrams by bigram: counts, counts with a word after them, and of each word its number (-1 for none)."""
 
-    at: np.ndarray
-    spot: np.ndarray
     word: np.ndarray
-    n: np.ndarray
-    history: np.ndarray
+    n1: np.ndarray
+    c1: np.ndarray
+    at1: np.ndarray
+    pair: np.ndarray
+    n2: np.ndarray
+    c2: np.ndarray
+    at2: np.ndarray
     many: np.ndarray
+    last: np.ndarray
+    n3: np.ndarray
+    at3: np.ndarray
 
 
-def grams(words: A.Words, counted: np.ndarray | None = None) -> list[Grams]:
-    """All orders; a history of an order has its own n-grams in a row, and words are their own histories.  ``counted`` says which texts count."""
+def grams(words: A.Words, counted: np.ndarray | None = None) -> Grams:
+    """``counted`` says which texts count."""
     h, row = words.hash, words.row
-    out: list[Grams] = []
-    single = value = A.mix(h + np.uint64(0x9E3779B97F4A7C15))
-    for k in range(1, ORDER + 1):
-        at = np.arange(k - 1, len(h))
-        at = at[row[at] == row[at - k + 1]]
-        if k == 1:
-            here = before = value
-        else:
-            before = value[at - 1]
-            here = A.mix(before * np.uint64(0x9FB21C651E98DF25) + h[at])
-            value = np.zeros(len(h), np.uint64)
-            value[at] = here
-        _, first, inverse = np.unique(here, return_index=True, return_inverse=True)
-        n = np.bincount(inverse, None if counted is None else counted[row[at]], len(first)).astype(np.int64)
-        order = np.argsort(before[first], kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        history, many = np.unique(before[first], return_counts=True)
-        out.append(Grams(at, rank[inverse], single[at[first[order]]], n[order], history, many))
-    return out
+    counts = (np.ones(len(h)) if counted is None else counted[row]).astype(float)
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = row[1:] == row[:-1]  # has a word before it in its text; shifted by one, a word after it
+    second = np.flatnonzero(same[:-1])
+    third = second[same[second - 1]] if len(second) else second
+    value = A.mix(h + np.uint64(0x9E3779B97F4A7C15))
+    word, at1 = np.unique(value, return_inverse=True)
+    add = lambda at, by, size: np.bincount(at, by, size).astype(np.int64)
+    pair, inner = np.unique(A.mix(value[second - 1] * np.uint64(0x9FB21C651E98DF25) + h[second]), return_inverse=True)
+    at2 = np.full(len(h), -1)
+    at2[second] = inner
+    key = at2[third - 1] << 8 * WORD_BYTES | (value[third] & np.uint64((1 << 8 * WORD_BYTES) - 1)).astype(np.int64)
+    both, inner = np.unique(key, return_inverse=True)
+    at3 = np.full(len(h), -1)
+    at3[third] = inner
+    more = counts * same[1:]
+    return Grams(
+        word, add(at1, counts, len(word)), add(at1, more, len(word)), at1,
+        pair, add(at2[second], counts[second], len(pair)), add(at2[second], more[second], len(pair)), at2,
+        add(both >> 8 * WORD_BYTES, None, len(pair)), both & ((1 << 8 * WORD_BYTES) - 1), add(inner, counts[third], len(both)), at3,
+    )
 
 
 def _part(history: np.ndarray, parts: int) -> np.ndarray:
@@ -124,8 +130,9 @@ def _read(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-_ASKED = "part long, bucket long, k int, history binary, word binary, many binary, many_big binary, n binary, n_big binary"
-_ANSWERED = "bucket long, k int, part long, n binary, n_big binary, c binary, c_big binary, kinds binary, kinds_big binary"
+_COUNTS = "{0} binary, {0}_big binary"
+_ASKED = ", ".join(["part long, bucket long, k int, id binary, last binary", *map(_COUNTS.format, ("n", "c", "many", "n3"))])
+_ANSWERED = ", ".join(["part long, bucket long, k int", *map(_COUNTS.format, ("n", "c", "n3"))])
 _SCORES = "doc_id long, n_bytes long, logprob double, bits_per_byte double"
 
 
@@ -134,20 +141,33 @@ def _none(schema: str) -> pa.Table:
     return pa.table({n: pa.array([], kinds[t]) for n, t in (c.split() for c in schema.split(", "))})
 
 
+def _octets(values: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(values.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _whole(octets: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(octets) // width, 8), np.uint8)
+    out[:, :width] = octets.reshape(-1, width)
+    return out.view(np.int64).ravel()
+
+
 def _ask(table: pa.Table, parts: int) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
+    g = grams(_of(table), table.column("counted").to_numpy().astype(float))
+    nothing = np.zeros(0, np.int64)
     found = []
-    for k, g in enumerate(grams(_of(table), table.column("counted").to_numpy().astype(float)), 1):
-        part, first = np.unique(_part(g.history, parts), return_index=True)
+    for k, (ids, n, c, many, last, n3) in enumerate(((g.word, g.n1, g.c1, nothing, nothing, nothing), (g.pair, g.n2, g.c2, g.many, g.last, g.n3)), 1):
+        part, first = np.unique(_part(ids, parts), return_index=True)
         if not len(part):
             continue
-        edge = np.append(first, len(g.history))
-        inner = np.concatenate([[0], np.cumsum(g.many)])[edge]
-        history = np.ascontiguousarray(g.history).view(np.uint8).reshape(-1, 8)[:, :HISTORY_BYTES]
+        edge = np.append(first, len(ids))
+        none = np.zeros(len(edge), np.int64)
+        inner = none if k == 1 else np.concatenate([[0], np.cumsum(many)])[edge]
         found.append(
             pa.table({
                 "part": part, "bucket": np.full(len(part), bucket), "k": np.full(len(part), k, np.int32),
-                "history": _blobs(history, edge), "word": _blobs(g.word.astype(np.uint32), inner), **_numbers("many", g.many, edge), **_numbers("n", g.n, inner),
+                "id": _blobs(_octets(ids, HISTORY_BYTES), edge), "last": _blobs(_octets(last, WORD_BYTES), inner),
+                **_numbers("n", n, edge), **_numbers("c", c, edge), **_numbers("many", many, none if k == 1 else edge), **_numbers("n3", n3, inner),
             })
         )
     return pa.concat_tables(found) if found else _none(_ASKED)
@@ -156,62 +176,54 @@ def _ask(table: pa.Table, parts: int) -> pa.Table:
 def _answer(table: pa.Table) -> pa.Table:
     part = table.column("part")[0].as_py()
     out = []
-    for k in range(1, ORDER + 1):
+    for k in (1, 2):
         rows = table.filter(pc.equal(table.column("k"), k))
         if not rows.num_rows:
             continue
-        octets = _joined(rows, "history", np.uint8)[0].reshape(-1, HISTORY_BYTES)
-        history = np.zeros((len(octets), 8), np.uint8)
-        history[:, :HISTORY_BYTES] = octets
-        (many, histories), (word, words), (n, _) = _read(rows, "many"), _joined(rows, "word", np.uint32), _read(rows, "n")
-        distinct, asked = np.unique(history.view(np.int64).ravel(), return_inverse=True)
-        _, first, inverse = np.unique(np.repeat(asked, many) << 32 | word, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, n, len(first)).astype(np.int64)
-        own = np.repeat(asked, many)[first]
-        c = np.bincount(own, total, len(distinct)).astype(np.int64)
-        kinds = np.bincount(own, total > 0, len(distinct)).astype(np.int64)
-        edge, inner = (np.concatenate([[0], np.cumsum(x)]) for x in (histories, words))
-        out.append(pa.table({"bucket": rows.column("bucket"), "k": rows.column("k"), "part": np.full(rows.num_rows, part), **_numbers("n", total[inverse], inner), **_numbers("c", c[asked], edge), **_numbers("kinds", kinds[asked], edge)}))
+        (n, size), (c, _), (many, _), (n3, size3) = (_read(rows, x) for x in ("n", "c", "many", "n3"))
+        distinct, own = np.unique(_whole(_joined(rows, "id", np.uint8)[0], HISTORY_BYTES), return_inverse=True)
+        total = lambda by, to, most: np.bincount(to, by, most).astype(np.int64)[to]
+        edge, inner = (np.concatenate([[0], np.cumsum(x)]) for x in (size, size3))
+        if k == 2:
+            key = np.repeat(own, many) << 8 * WORD_BYTES | _whole(_joined(rows, "last", np.uint8)[0], WORD_BYTES)
+            both, at = np.unique(key, return_inverse=True)
+            n3 = total(n3, at, len(both))
+        answer = {**_numbers("n", total(n, own, len(distinct)), edge), **_numbers("c", total(c, own, len(distinct)), edge), **_numbers("n3", n3, inner)}
+        out.append(pa.table({"part": np.full(rows.num_rows, part), "bucket": rows.column("bucket"), "k": rows.column("k"), **answer}))
     return pa.concat_tables(out)
 
 
-def _weights(words: A.Words, answers: pa.Table, distinct: int, total: int) -> np.ndarray:
+def _weights(words: A.Words, answers: pa.Table, total: int) -> np.ndarray:
     """The weight of the path that each word of a bucket takes: failure arcs, then the arc of the word."""
-    arc = np.full(len(words.hash), 1.0 / (distinct + 1))
-    path = np.zeros(len(words.hash))
-    for k, g in enumerate(grams(words), 1):
-        rows = answers.filter(pc.equal(answers.column("k"), k)).sort_by("part")
-        if not len(g.at):
-            continue
-        n = _read(rows, "n")[0]
-        if k == 1:
-            c, kinds, of = np.array([total]), np.array([distinct]), np.zeros(len(n), np.int64)
-        else:
-            c, kinds = _read(rows, "c")[0], _read(rows, "kinds")[0]
-            of = np.repeat(np.arange(len(c)), g.many)
-        gamma = np.where(c > 0, DISCOUNT * kinds / np.maximum(c, 1), 1.0)
-        has = n > 0
-        own = np.where(has, (n - DISCOUNT) / np.maximum(c[of], 1), 0.0)
-        taken, back = has[g.spot], gamma[of][g.spot]
-        with_arc, without = g.at[taken], g.at[~taken]
-        # an arc holds the interpolated probability, so the failure arcs below it are in the number already
-        arc[with_arc] = own[g.spot][taken] + back[taken] * arc[with_arc] * np.exp(path[with_arc])
-        path[with_arc] = 0.0
-        path[without] += np.log(back[~taken])
+    g = grams(words)
+    one, two = (answers.filter(pc.equal(answers.column("k"), k)).sort_by("part") for k in (1, 2))
+    (n1, c1), (n2, c2, n3) = (_read(one, x)[0] for x in ("n", "c")), (_read(two, x)[0] for x in ("n", "c", "n3"))
+    arc = np.maximum(n1[g.at1], 1) / (total + 1)
+    path = np.zeros(len(arc))
+    second, third = np.flatnonzero(g.at2 >= 0), np.flatnonzero(g.at3 >= 0)
+    for at, n, c in ((second, n2[g.at2[second]], c1[g.at1[second - 1]]), (third, n3[g.at3[third]], c2[g.at2[third - 1]])):
+        back, has = PRIOR / (c + PRIOR), n > 0
+        taken, left = at[has], at[~has]
+        # an arc holds the smoothed probability, so the failure arcs below it are in the number already
+        arc[taken] = n[has] / (c[has] + PRIOR) + back[has] * arc[taken] * np.exp(path[taken])
+        path[taken] = 0.0
+        path[left] += np.log(back[~has])
     return path + np.log(arc)
 
 
-def _vocabulary(docs: DataFrame) -> tuple[int, int]:
-    """Distinct words and all words of ``docs``."""
+def _size(docs: DataFrame) -> tuple[int, int]:
+    """Bytes of all texts, and words of those that count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in A.slices(batches, "text", BUCKET_BYTES):
-            word, n = np.unique(A.folded_words(batch.column("text")).hash, return_counts=True)
-            yield pa.RecordBatch.from_arrays([A.as_signed(word), pa.array(n)], ["word", "n"])
+        octets = many = 0
+        for batch in A.slices(batches, "text"):
+            raw, offsets = A.utf8(pc.utf8_lower(batch.column("text").cast(pa.large_string())))
+            octets += len(raw)
+            many += int(np.diff(A.split(raw, offsets, A._WORD)[3])[batch.column("counted").to_numpy(zero_copy_only=False)].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([octets]), pa.array([many])], ["octets", "many"])
 
-    one = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = one.agg(F.count("*"), F.sum("n")).first()
-    return found[0], found[1] or 0
+    found = docs.select("text", "counted").mapInArrow(run, "octets long, many long").agg(F.sum("octets"), F.sum("many")).first()
+    return found[0] or 0, found[1] or 0
 
 
 def scores(docs: DataFrame, bucket: int = BUCKET_BYTES, corpus: DataFrame | None = None) -> DataFrame:
@@ -220,8 +232,7 @@ def scores(docs: DataFrame, bucket: int = BUCKET_BYTES, corpus: DataFrame | None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(own).alias("counted"), F.lit(True).alias("scored"))
     if not own:
         texts = texts.unionByName(corpus.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(True).alias("counted"), F.lit(False).alias("scored")))
-    distinct, total = _vocabulary(texts.filter("counted"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, total = _size(texts)
     parts = max(1, -(-size // bucket))
     keyed = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
 
@@ -231,7 +242,8 @@ def scores(docs: DataFrame, bucket: int = BUCKET_BYTES, corpus: DataFrame | None
         words = _of(rows)
         none = rows.column("text").is_null().to_numpy()
         octets = pc.binary_length(rows.column("text")).fill_null(0).to_numpy().astype(np.int64)
-        logprob = np.bincount(words.row, _weights(words, told, distinct, total), rows.num_rows).astype(float)
+        weights = _weights(words, told, total) if len(words.hash) else np.zeros(0)
+        logprob = np.bincount(words.row, weights, rows.num_rows).astype(float)
         bits = -logprob / np.log(2) / np.maximum(octets, 1)
         wordless = np.diff(words.first) == 0
         return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(octets, mask=none), "logprob": pa.array(logprob, mask=none), "bits_per_byte": pa.array(bits, mask=none | wordless)}).filter(rows.column("scored"))
