@@ -16,11 +16,14 @@ def brute(rows, least=S.MIN_WORDS):
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
         words = re.findall(r"[^\t-\r\x1c-\x20]+", text or "")
         h = A.spaced_words(pa.array([text]))[2].hash.tolist()
-        hits = []
-        for i in range(len(h)):
-            g = h[i] + (h[i - 1] << 1 if i else 0) + (h[i - 2] << 2 if i > 1 else 0)
-            hits.append(g & 6 == 0)
-        ends = [i + 1 for i in range(len(h)) if (hits[i] and not (i and hits[i - 1])) or i == len(h) - 1]
+        roll = [(h[i] + (h[i - 1] << 1 if i else 0) + (h[i - 2] << 2 if i > 1 else 0)) % 2**64 for i in range(len(h))]
+        hits = [g & 6 == 0 for g in roll]
+
+        def quiet(i, q=S.QUIET):
+            near = range(i - q, i + q + 1)
+            return near[0] >= 0 and near[-1] < len(h) and not any(hits[j] for j in near) and roll[i] == min(roll[j] for j in near) and roll[i] != roll[i - 1]
+
+        ends = [i + 1 for i in range(len(h)) if (hits[i] and not (i and hits[i - 1])) or i == len(h) - 1 or quiet(i)]
         gone = set()
         for begin in [0, *ends[:-1]]:
             end = next((e for e in ends if e >= begin + least), None)
@@ -56,6 +59,18 @@ def test_passages_of_fifty_words_are_found_and_insertions_move_nothing(spark):
         assert got[i].text == text and got[i].cut_chars == 0 and got[i].kept_in == []
 
 
+def test_passages_that_repeat_a_line_are_found(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared = ["\n".join([prose(p)] * (120 // p)) for p in (2, 3, 4, 6, 8, 12) for _ in range(20)]
+    rows = [(i, f"{prose(40)}\n{shared[i % 120]}\n{prose(40)}", "en", "s", 0) for i in range(240)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in S.dedup(docs).collect()}
+    assert {i: got[i].text.split() for i, *_ in rows} == brute([(i, t) for i, t, *_ in rows])
+    assert all(i - 120 in got[i].kept_in for i in range(120, 240))
+
+
 def test_edges_of_data(spark):
     prose = " ".join(f"w{i * i % 977}x{i}" for i in range(300))
     rows = [
