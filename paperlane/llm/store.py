@@ -13,7 +13,9 @@ table of objects, each under the BLAKE2b digest of what it holds:
   in order and ``address`` is the root of the Merkle tree over them.
 * ``manifest``: one for each group of documents; ``parts`` are the sorted
   recipe addresses of the group, ``address`` their Merkle root.
-* ``root``: one; ``parts`` are the manifests' addresses in order.
+* where there are more than ``GROUP`` manifests, a ``manifest`` over each
+  ``GROUP`` of them in order, and so on, so that no row grows with the corpus.
+* ``root``: one; ``parts`` are the addresses of the topmost manifests in order.
 
 ``rebuild`` turns recipes back into texts and says for each whether every
 digest on the way holds; ``check_manifests`` does so for the groups.
@@ -99,10 +101,10 @@ def _objects(vocabulary: str, docs: DataFrame) -> DataFrame:
     """Recipes of all documents, and the chunks that are new within a task; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_to_numpy
+        encode = encoding(vocabulary).encode_ordinary
         seen: set[bytes] = set()
         for batch in A.slices(batches, "text", 1 << 20):
-            coded = [None if t is None else encode(t, disallowed_special=()).astype("<u2") for t in batch.column("text").to_pylist()]
+            coded = [None if t is None else np.array(encode(t), "<u2") for t in batch.column("text").to_pylist()]
             sizes = np.array([0 if c is None else len(c) for c in coded], np.int64)
             first = np.concatenate([[0], np.cumsum(sizes)])
             flat = np.concatenate([c for c in coded if c is not None] or [np.zeros(0, "<u2")])
@@ -169,11 +171,11 @@ def _group(groups: int) -> Column:
     return F.pmod(F.xxhash64("address"), F.lit(groups)).cast("long")
 
 
-def _top(table: pa.Table) -> pa.Table:
-    """The root object over the manifests in the order of their groups."""
+def _top(table: pa.Table, kind: str = "root", group: int | None = None) -> pa.Table:
+    """The object over manifests in the order of their groups."""
     table = table.sort_by("doc_id")
     names = table.column("address").to_pylist()
-    return _above("root", None, names, len(names))
+    return _above(kind, group, names, len(names))
 
 
 def _above(kind: str, group: int | None, names: list[bytes], n: int) -> pa.Table:
@@ -182,8 +184,8 @@ def _above(kind: str, group: int | None, names: list[bytes], n: int) -> pa.Table
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "address", "doc_id", "n_ids", "ids", "parts"])
 
 
-def manifests(recipe: DataFrame) -> DataFrame:
-    """Manifest objects (``n_ids``: documents; ``doc_id``: null) of groups of about ``GROUP`` recipes, and the root over them."""
+def manifests(recipe: DataFrame, fan: int = GROUP) -> DataFrame:
+    """Manifest objects (``n_ids``: parts; ``doc_id``: null) of groups of about ``GROUP`` recipes, those over ``fan`` manifests each, and the root."""
     spark = recipe.sparkSession
     groups = max(1, -(-recipe.count() // GROUP))
 
@@ -191,8 +193,17 @@ def manifests(recipe: DataFrame) -> DataFrame:
         names = sorted(table.column("address").to_pylist())
         return _above("manifest", table.column("grp")[0].as_py(), names, len(names))
 
-    made = settle(spark, recipe.select("address", _group(groups).alias("grp")).groupBy("grp").applyInArrow(of_group, SCHEMA), "manifests")
-    heads = made.select("address", "doc_id")
+    def of_level(table: pa.Table) -> pa.Table:
+        return _top(table, "manifest", table.column("grp")[0].as_py())
+
+    level = settle(spark, recipe.select("address", _group(groups).alias("grp")).groupBy("grp").applyInArrow(of_group, SCHEMA), "manifests")
+    made = level
+    while groups > fan:
+        groups = -(-groups // fan)
+        above = level.select("address", "doc_id", F.floor(F.col("doc_id") / fan).alias("grp"))
+        level = settle(spark, above.groupBy("grp").applyInArrow(of_level, SCHEMA), "manifests")
+        made = made.unionByName(level)
+    heads = level.select("address", "doc_id")
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]

@@ -90,3 +90,18 @@ def test_edges_of_data(spark):
     empty = S.build(docs.limit(0)).collect()
     assert [(r.kind, r.parts) for r in empty] == [("root", [])]
     assert S.rebuild(S.build(docs.limit(0))).count() == 0
+
+
+def test_manifests_are_a_tree_of_fixed_fan(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 4)
+    recipe = S._objects(S.VOCABULARY, spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")).filter("kind = 'recipe'")
+    made = S.manifests(recipe, fan=3).collect()
+    by = {bytes(r.address): r for r in made}
+    root = [r for r in made if r.kind == "root"]
+    assert len(root) == 1 and len(root[0].parts) <= 3
+
+    def leaves(r):
+        assert bytes(r.address) == S.merkle_root([bytes(p) for p in r.parts], len(r.parts))
+        return sum(([bytes(p)] if bytes(p) not in by else leaves(by[bytes(p)]) for p in r.parts), [])
+
+    assert sorted(leaves(root[0])) == sorted(bytes(r.address) for r in recipe.collect())
