@@ -45,16 +45,22 @@ def _choose(key: Column, prefix: str, node: dict) -> Column:
 def assign(rows: DataFrame, key: str = "doc_id", tree: Tree = TREE) -> DataFrame:
     """``rows`` with region, rack and shard, which replace columns of such a name; no shuffle and no Python."""
     text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    region = _choose(text, "", tree)
-    out = rows.withColumn("region", region)
-    rack = shard = F.lit(None).cast("string")
-    for r, racks in tree.items():
-        rack = F.when(F.col("region") == r, _choose(text, f"{r}/", racks)).otherwise(rack)
-    out = out.withColumn("rack", rack)
+
+    def below(own: Column, prefix: str, node: dict) -> Column:
+        """The level under the node that ``own`` names."""
+        out = F.lit(None).cast("string")
+        for name, child in node.items():
+            out = F.when(own == name, _choose(text, f"{prefix}{name}/", child)).otherwise(out)
+        return out
+
+    # under names that no column has, as the key may be named like a level
+    done = rows.withColumn("__pl_region", _choose(text, "", tree))
+    done = done.withColumn("__pl_rack", below(F.col("__pl_region"), "", tree))
+    shard = F.lit(None).cast("string")
     for r, racks in tree.items():
-        for k, shards in racks.items():
-            shard = F.when((F.col("region") == r) & (F.col("rack") == k), _choose(text, f"{r}/{k}/", shards)).otherwise(shard)
-    return out.withColumn("shard", shard)
+        shard = F.when(F.col("__pl_region") == r, below(F.col("__pl_rack"), f"{r}/", racks)).otherwise(shard)
+    done = done.withColumn("__pl_shard", shard)
+    return done.withColumns({n: F.col(f"__pl_{n}") for n in LEVELS}).drop(*[f"__pl_{n}" for n in LEVELS])
 
 
 def oracle(table: str, key: str = "doc_id", tree: Tree = TREE) -> str:

@@ -2,6 +2,7 @@ import copy
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from paperlane.llm import sharding as H
 
@@ -51,3 +52,16 @@ def test_edges_of_data(spark):
     assert len(got) == 3 and rows.columns[:2] == ["doc_id", "shard"] and len({r.shard for r in got if r.doc_id == 1}) == 1
     assert all(r.region and r.rack and r.shard for r in got)
     assert H.assign(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("key", ["region", "rack", "shard"])
+def test_a_key_named_like_a_level(spark, key):
+    rows = spark.range(500).select("id", F.col("id").cast("string").alias(key))
+    want = {str(k): p for k, p in place(spark, H.TREE, 500).items()}
+    got = {str(r.id): (r.region, r.rack, r.shard) for r in H.assign(rows, key).collect()}
+    assert got == want
+
+
+def test_ties_go_to_the_first_name(spark, monkeypatch):
+    monkeypatch.setattr(H, "_draw", lambda key, path, w: F.lit(0.5))
+    assert set(place(spark, H.TREE, 20).values()) == {("east", "rack0", "shard0")}
