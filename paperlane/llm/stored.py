@@ -6,6 +6,8 @@ folder that ``spark.checkpoint.dir`` names, which all executors share.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local["):
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
-            _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='paperlane-')}"
+            folder = tempfile.mkdtemp(prefix="paperlane-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _LOCAL[app] = f"file://{folder}"
         return _LOCAL[app]
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
