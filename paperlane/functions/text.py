@@ -24,14 +24,15 @@ def fold(text: str) -> str:
 
 
 @cache
-def _table() -> tuple[str, str]:
-    """What ``translate`` replaces: code points that fold to one other, then those that vanish."""
+def _table(folded: bool = True) -> tuple[str, str]:
+    """What ``translate`` replaces: code points that lose their marks (and case) and become one other, then those that vanish."""
     one, gone = [], []
     for point in range(sys.maxunicode + 1):
         char = chr(point)
         if 0xD800 <= point < 0xE000 or char.isspace():
             continue
-        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)).casefold()
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        plain = plain.casefold() if folded else plain
         if not plain:
             gone.append(char)
         elif len(plain) == 1 and plain != char and point < 0x10000:
@@ -39,6 +40,26 @@ def _table() -> tuple[str, str]:
     return "".join(c for c, _ in one) + "".join(g for g in gone if ord(g) < 0x10000), "".join(p for _, p in one)
 
 
+@cache
+def _cases() -> tuple[str, str, dict[str, str]]:
+    """Code points that casefolding makes one other, what they become, and those that it makes several."""
+    changed = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c}
+    one = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def _jamo(text: Column) -> Column:
+    """Each Hangul syllable as its two or three letters."""
+    first, middle, last = ([F.lit(chr(base + k)) for k in range(n)] for base, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+    def of(char: Column) -> Column:
+        at = F.ascii(char) - 0xAC00
+        parts = F.concat(F.get(F.array(*first), (at / 588).cast("int")), F.get(F.array(*middle), (at % 588 / 28).cast("int")), F.get(F.array(F.lit(""), *last), at % 28))
+        return F.when((at >= 0) & (at < 11172), parts).otherwise(char)
+
+    return F.array_join(F.transform(F.split(text, ""), of), "")
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -65,11 +86,25 @@ def normalize(text: Column, how: str = "native") -> Column:
     out = F.translate(text, source, target)
     for char, plain in EXPANDED.items():
         out = F.replace(out, F.lit(char), F.lit(plain))
-    return collapse(F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7f]")), out).otherwise(F.lower(text)))
+    korean = F.regexp_like(text, F.lit(r"[\x{AC00}-\x{D7A3}]"))
+    return collapse(F.when(korean, _jamo(out)).when(F.regexp_like(text, F.lit(r"[^\x00-\x7f]")), out).otherwise(F.lower(text)))
 
 
 def casefold(text: Column) -> Column:
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Python's casefolding of every code point."""
+    source, target, several = _cases()
+    out = F.translate(text, source, target)
+    long = out
+    for char, plain in several.items():
+        long = F.replace(long, F.lit(char), F.lit(plain))
+    has_long = F.regexp_like(text, F.lit("[" + "".join(several) + "]"))
+    return F.when(has_long, long).when(F.regexp_like(text, F.lit(r"[^\x00-\x7f]")), out).otherwise(F.lower(text))
+
+
+def without_marks(text: Column) -> Column:
+    """``normalize`` without the folding of case, before white space is collapsed."""
+    out = F.translate(text, *_table(False))
+    return F.when(F.regexp_like(text, F.lit(r"[\x{AC00}-\x{D7A3}]")), _jamo(out)).otherwise(out)
 
 
 def label_pattern(needle: str) -> str:

@@ -9,6 +9,7 @@ number in a text column shows its digits.
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
@@ -132,9 +133,10 @@ def _number(raw: Column, native: Column | None, options: TabularOptions, source:
         value = c["number"]
         if not integer:
             return extracted("number", value, F.lit(CONFIRMED), c["problem"], source)
-        whole = F.coalesce(value % 1 == 0, F.lit(False)) & (F.abs(value) < 1e38)
+        whole = F.coalesce(value % 1 == 0, F.lit(False))
         return (
-            F.when(whole, confirmed("integer", value.try_cast("decimal(38,0)"), source))
+            F.when(whole & (F.abs(value) < 1e38), confirmed("integer", _exact(value), source))
+            .when(whole & (F.abs(value) < float("inf")), review("number", value, F.lit("integer_beyond_38_digits"), source))
             .when(value.isNotNull(), review("number", value, F.lit("fraction_in_integer"), source))
             .otherwise(missing(c["problem"], source))
         )
@@ -142,6 +144,16 @@ def _number(raw: Column, native: Column | None, options: TabularOptions, source:
     return let(parsed, of)
 
 
+def _exact(value: Column) -> Column:
+    """A double without a fraction as the integer that it is, to the last digit."""
+    large = F.abs(value) >= float(1 << 62)  # a multiple of 1024 then
+    step = float(1 << 64)  # dividing by a power of two loses nothing
+    high = F.floor(F.when(large, value) / step)
+    low = ((F.when(large, value) - high.cast("double") * step) / 1024).cast("bigint")
+    whole = high.cast("decimal(19,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") + low.cast("decimal(19,0)") * F.lit(1024).cast("decimal(4,0)")
+    return F.when(large, whole.cast("decimal(38,0)")).otherwise(value.try_cast("bigint").cast("decimal(38,0)"))
+
+
 def _boolean(raw: Column, native: Column | None, options: TabularOptions, source: Column) -> Column:
     low = lambda v: [x.strip().casefold() for x in v]
 
@@ -182,7 +194,20 @@ def interpret_cell(raw: Column, spec: ColumnSpec | FieldSpec, options: TabularOp
         out = F.when(is_blank(text), missing(F.lit("blank_cell"), proof)).otherwise(typed)
         return out if unreadable is None else F.when(c["unreadable"].isNotNull(), missing(F.concat(F.lit("unreadable: "), c["unreadable"]), proof)).otherwise(out)
 
-    return let(F.struct(*[v.alias(k) for k, v in parts.items()]), of)
+    out = let(F.struct(*[v.alias(k) for k, v in parts.items()]), of)
+    if kind in ("number", "integer") and not human_only and native is None and unreadable is None:
+        plain = raw.try_cast("double")
+        known = confirmed("integer", plain.cast("decimal(38,0)"), source) if kind == "integer" else confirmed("number", plain, source)
+        return F.when(F.regexp_like(raw, F.lit(_plain_pattern(kind == "integer", options))), known).otherwise(out)
+    return out
+
+
+def _plain_pattern(integer: bool, options: TabularOptions) -> str:
+    """Cells that are a number by every rule as they stand, which most are: these need no reading of signs and groups."""
+    digits = "-?[0-9]{1,15}"
+    if integer or "." in options.group_separators or options.decimal_separator == ",":
+        return f"^{digits}$"
+    return rf"^{digits}(\.[0-9]{{1,9}})?$" if options.decimal_separator == "." else rf"^{digits}(\.([0-9]{{1,2}}|[0-9]{{4,9}}))?$"
 
 
 __all__ = ["interpret_cell", "is_blank_cell", "parse_date", "parse_number"]

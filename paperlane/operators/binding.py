@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from paperlane.config import TableSchema, TabularOptions
 from paperlane.errors import AmbiguousHeader, SchemaMismatch
-from paperlane.functions.text import casefold, collapse, is_blank, normalize, strip
+from paperlane.functions.text import casefold, collapse, is_blank, normalize, strip, without_marks
 from paperlane.model import let
 
 
@@ -34,6 +34,8 @@ def split_unit(header: Column, brackets: tuple[tuple[str, str], ...]) -> Column:
 def normal_header(label: Column, options: TabularOptions) -> Column:
     if options.strip_header_accents and options.casefold_headers:
         return normalize(label)
+    if options.strip_header_accents:
+        return collapse(without_marks(label))
     return casefold(collapse(label)) if options.casefold_headers else collapse(label)
 
 

@@ -40,11 +40,20 @@ def invert(left: Column, known: list[Column], operation: str) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A number with six significant digits, without the zeros that end it."""
-    size = F.floor(F.log10(F.abs(x))).cast("int")
-    plain = F.format_string("%.6f", F.round(x / F.pow(F.lit(10.0), size.cast("double")), 5) * F.pow(F.lit(10.0), size.cast("double")))
-    short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(x == 0, "0").when(F.isnan(x), "nan").when((size >= 6) | (size < -4), F.regexp_replace(F.lower(F.format_string("%.5e", x)), r"\.?0+e", "e")).otherwise(short)
+    """A number with six significant digits, without the zeros that end it, rounded by its exact binary value as C's ``%.6g`` does.
+
+    Of numbers from a million on, one exactly between two others may take the other.
+    """
+    shown = lambda pattern: F.call_function("format_number", x, F.lit(pattern))
+    scientific = shown("0.#####E0")
+    size = F.substring_index(scientific, "E", -1).try_cast("int")
+    small = F.lpad(F.abs(size).cast("string"), 2, "0")
+    exponent = F.concat(F.when(size < 0, "e-").otherwise("e+"), F.when(F.abs(size) < 100, small).otherwise(F.abs(size).cast("string")))
+    out = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, F.when(x.cast("string").startswith("-"), "-0").otherwise("0"))
+    out = out.when((F.abs(x) < 1e6) & (x % 1 == 0), x.try_cast("bigint").cast("string"))  # most are
+    for k in range(-4, 6):
+        out = out.when(size == k, shown("0." + "#" * (5 - k) if k < 5 else "0"))
+    return out.otherwise(F.concat(F.substring_index(scientific, "E", 1), exponent))
 
 
 def flagged(item: Column, note: Column) -> Column:

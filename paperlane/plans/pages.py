@@ -13,12 +13,13 @@ def read_lines(fragments: DataFrame, options: TextLayerOptions) -> tuple[DataFra
 
     lines: doc and the texts of all its pages in reading order, for documents
     of which the text layer can be used; suspicions: fragments that may hold
-    merged columns; refused: the other documents, and broken rectangles.
+    merged columns; refused: the other documents.  A document with a broken
+    rectangle is refused whole and not read.
     """
     problem = L.geometry_problem(fragments)
     judged = fragments.withColumn("problem", problem)
     broken = judged.filter("problem is not null").select(F.col("doc").alias("relative_path"), F.lit("SourceUnreadable").alias("error_class"), F.col("problem").alias("reason")).distinct()
-    sound = judged.filter("problem is null").drop("problem")
+    sound = fragments.join(broken.select(F.col("relative_path").alias("doc")).distinct(), "doc", "left_anti")
     verdicts = L.verdict(L.page_probe(sound), options)
     usable, refused = L.usable_only(sound, verdicts)
     texts = usable.filter("text is not null")

@@ -619,13 +619,13 @@ _FRAGMENTS = """
 """
 
 
-def page_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_fragments(spark: SparkSession, sf_dir: str, *beside: Column) -> DataFrame:
     q = F.col("l_quantity")
     x, y = (F.col("l_suppkey") % 50).cast("double"), (F.col("l_partkey") % 20).cast("double") * 10
     text = F.concat(F.repeat(F.lit("ab "), (q.cast("bigint") % 13).cast("int")), F.col("l_linenumber").cast("string"))
     return _t(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("doc"), (1 + F.col("l_linenumber") % 2).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"),
-        x.alias("x_left"), y.alias("y_top"), (x + 1 + q * 11).alias("x_right"), (y + 9).alias("y_bottom"), text.alias("text"),
+        x.alias("x_left"), y.alias("y_top"), (x + 1 + q * 11).alias("x_right"), (y + 9).alias("y_bottom"), text.alias("text"), *beside,
     )
 
 
@@ -664,4 +664,41 @@ def page_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lines(page_fragments(spark, sf_dir), _LAYOUT)[2]
 
 
+_BROKEN = "(SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_partkey % 13 = 0))"
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS doc, 'refused' AS state, 'empty_rectangle' AS reason FROM {_BROKEN} b UNION ALL SELECT DISTINCT CAST(l_orderkey AS VARCHAR), 'read', NULL FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM {_BROKEN} b)")
+def broken_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document with a broken rectangle is refused whole, any other is read."""
+    cut = F.when(F.col("l_partkey") % 13 == 0, F.col("x_left")).otherwise(F.col("x_right"))
+    parts = page_fragments(spark, sf_dir, F.col("l_partkey")).withColumn("x_right", cut).drop("l_partkey")
+    lines, _, refused = read_lines(parts, TextLayerOptions(min_usable_chars=1, ambiguous_from=1))
+    return refused.select(F.col("relative_path").alias("doc"), F.lit("refused").alias("state"), "reason").unionByName(lines.select("doc", F.lit("read").alias("state"), F.lit(None).cast("string").alias("reason")))
+
+
+_SCRIPTS = {"Κωδικός": "ΚΩΔΙΚΌΣ", "Straße": "STRASSE", "송장 번호": "송장  번호", "ﬁnal": "FINAL", "Ğöl": "ğÖL"}
+
+
+@query("SELECT s_suppkey, (['code', 'street', 'invoice', 'end', 'lake'])[1 + s_suppkey % 5] AS key, 0 AS idx FROM supplier")
+def header_fold_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers in other letter cases of Greek, German, Korean and Turkish, and with a ligature, bind to their aliases."""
+    keys = ("code", "street", "invoice", "end", "lake")
+    schema = TableSchema(tuple(ColumnSpec(k, (alias,), required=False) for k, alias in zip(keys, _SCRIPTS, strict=True)))
+    shown = F.element_at(F.array(*[F.lit(h) for h in _SCRIPTS.values()]), (1 + F.col("s_suppkey") % 5).cast("int"))
+    bound = _t(spark, sf_dir, "supplier").select("s_suppkey", B.bind(F.array(shown), schema, TabularOptions()).alias("b"))
+    return bound.select("s_suppkey", F.explode("b.found").alias("f")).select("s_suppkey", "f.key", F.col("f.idx").cast("int").alias("idx"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN whole < 1000000 THEN CAST(whole AS VARCHAR) ELSE regexp_replace(CAST(lead // 100000 AS VARCHAR) || '.' || lpad(CAST(lead % 100000 AS VARCHAR), 5, '0'), '[.]?0+$', '') || 'e+0' || CAST(size AS VARCHAR) END AS shown
+FROM (SELECT *, CASE WHEN whole >= 1000000 THEN CAST(round((whole + 0.25) / pow(10, size - 5)) AS BIGINT) END AS lead
+  FROM (SELECT *, length(CAST(whole AS VARCHAR)) - 1 AS size FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey * 1000 + l_suppkey * 7 + l_linenumber AS BIGINT) AS whole FROM lineitem) a) b) c
+""")
+def rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in notes: six significant digits, an exponent from a million on."""
+    whole = (F.col("l_partkey") * 1000 + F.col("l_suppkey") * 7 + F.col("l_linenumber")).cast("bigint")
+    x = F.when(whole < 1_000_000, whole.cast("double")).otherwise(whole + 0.25)
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.number_text(x).alias("shown"))
+
+
 __all__ = ["ORACLE", "QUERIES"]

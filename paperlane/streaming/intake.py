@@ -14,10 +14,13 @@ from paperlane.sources.text import lines
 
 
 def arrivals(spark: SparkSession, folder: str, glob: str = "*.txt", most_files: int = 1000) -> DataFrame:
-    """(relative_path, content_hash, content, arrived) of new files."""
+    """(relative_path, content_hash, content, arrived) of new files in ``folder`` and below; the path is relative to it."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    read = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", most_files).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
+    read = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", most_files).load(folder)
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    base = folder.removeprefix("file://").rstrip("/") + "/"
+    at = F.instr(plain, F.lit(base))
+    name = F.when(at > 0, F.substring(plain, at + len(base), 1 << 30)).otherwise(F.element_at(F.split("path", "/"), -1))
     return read.select(name.alias("relative_path"), content_hash(F.col("content")).alias("content_hash"), "content", F.col("modificationTime").alias("arrived"))
 
 
