@@ -32,7 +32,6 @@ from paperlane.llm import arrays as A
 from paperlane.llm.stored import settle
 
 MAX_TRAIN = 20_000
-MAX_LEXICON = 4_096  # word forms of best odds; rarer marked forms beyond that are not seen
 MIN_MARKED = 5
 MIN_ODDS = 12.0
 STEMS = (4, 5, 6)  # bytes
@@ -188,7 +187,10 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def lexicon_of(train: DataFrame) -> np.ndarray:
-    """Hashes of words, and of beginnings of words, whose share among toxic documents is ``MIN_ODDS`` times that among others."""
+    """Hashes of words, and of beginnings of words, whose share among toxic documents is ``MIN_ODDS`` times that among others.
+
+    Each stands in 1 of 100 toxic documents or more, of at most ``MAX_TRAIN``, which bounds what reaches the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, "text"):
@@ -210,7 +212,7 @@ def lexicon_of(train: DataFrame) -> np.ndarray:
     odds = (F.col("yes") / yes) / ((F.col("no") + 0.5) / (no + 1.0))
     least = max(MIN_MARKED, yes // 100)
     counted = train.select("toxic", "text").mapInArrow(run, "word long, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    found = counted.filter((F.col("yes") >= least) & (odds >= MIN_ODDS)).orderBy(odds.desc(), "word").limit(MAX_LEXICON).select("word").toArrow()
+    found = counted.filter((F.col("yes") >= least) & (odds >= MIN_ODDS)).select("word").toArrow()
     return np.sort(found.column("word").to_numpy().astype(np.int64).view(np.uint64))
 
 
