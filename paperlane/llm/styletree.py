@@ -17,7 +17,8 @@ importance is below ``threshold`` is noise; the largest such branches are
 removed from each page and the text of the rest is returned.
 
 Pages are parsed in one pass that adds up each task's nodes; one shuffle of
-these sums by node gives the tables of nodes that occur on several pages, and
+these sums by node and what is counted, added up before it, and one by node give
+the tables of nodes that occur on several pages, and
 importance climbs one level of depth at a time.  Where the noise is at most
 ``SEND_BYTES`` of 8-byte names it is sent to all tasks, beyond that each page
 is joined with its own.
@@ -34,8 +35,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -219,7 +223,7 @@ def site_nodes(pages: DataFrame) -> DataFrame:
     ``once`` the number of the others, ``imp`` the node importance of an
     element or the content importance of a leaf.
     """
-    by_key = _sums(pages).repartition("key").groupBy("key", "kind", "other", "depth").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    by_key = _sums(pages).groupBy("key", "kind", "other", "depth").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     kind = F.col("kind")
     m = F.sum(F.when(kind == 0, F.col("n")))
     spread = F.when((kind == 2) & (F.col("n") > 0), F.ln("n") - F.col("x") / F.col("n"))
@@ -284,16 +288,27 @@ def _extracted(page_id: pa.Array, host: list, sources: list, noise_at) -> pa.Rec
     return pa.RecordBatch.from_arrays([page_id, pa.array(host, pa.string()), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["page_id", "host", "text", "removed"])
 
 
+class Sorted:
+    """Membership among sorted whole numbers of eight bytes each, which need no objects of their own."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        self.numbers = array("q", np.sort(numbers).tobytes())
+
+    def __contains__(self, number: int) -> bool:
+        at = bisect_left(self.numbers, number)
+        return at < len(self.numbers) and self.numbers[at] == number
+
+
 def extract(pages: DataFrame, threshold: float = THRESHOLD, send: int = SEND_BYTES) -> DataFrame:
     """(page_id, host, text, removed): the text of every page without its noisy branches, and how many were removed."""
     spark = pages.sparkSession
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     noise = noise_of(source, threshold)
     if 8 * noise.count() <= send:
-        names = spark.sparkContext.broadcast(noise.toArrow().column("key").to_numpy())
+        names = spark.sparkContext.broadcast(noise.toArrow().column("key").to_numpy().astype(np.int64))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = set(names.value.tolist())
+            known = Sorted(names.value)
             for b in batches:
                 yield _extracted(b.column("page_id"), b.column("host").to_pylist(), b.column("html").to_pylist(), lambda k: known)
 
