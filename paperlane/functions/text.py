@@ -119,9 +119,17 @@ def label_position(line: Column, needle: str) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines at every line border that Python knows, without an empty one at the end."""
-    parts = F.split(text, LINE_END)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.when(last_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(_split_lines(text, LINE_END))
+
+
+def lines_at_newlines(text: Column) -> Column:
+    """Lines at newlines alone, as SQL splits them: an empty text is one empty line, other line borders stay in their lines."""
+    return F.when(text == "", F.array(text)).otherwise(_split_lines(text, "\n"))
+
+
+def _split_lines(text: Column, border: str) -> Column:
+    parts = F.split(text, border)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def value_after(line: Column, normal: Column, label: Column, needle: Column) -> Column:
