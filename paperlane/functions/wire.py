@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import Column, functions as F
 
-from paperlane.model import CONFIDENCES, EXTRACTED, INPUT_KINDS, RECORD
+from paperlane.model import CONFIDENCES, EXTRACTED, INPUT_KINDS, RECORD, let
 
 VERSION = "1.0.0"
 _WIRE_ITEM = "struct<value:string,confidence:string,value_type:string,note:string>"
@@ -55,7 +55,7 @@ def recompute_needs_human(wire: Column) -> Column:
     """``needs_human`` from the JSON alone."""
     parsed = F.from_json(wire, f"fields map<string,{_WIRE_ITEM}>, rows array<map<string,{_WIRE_ITEM}>>")
     unsure = lambda m: F.exists(F.map_values(m), lambda v: ~v["confidence"].eqNullSafe(F.lit("confirmed")))
-    return F.coalesce(unsure(parsed["fields"]), F.lit(False)) | F.coalesce(F.exists(parsed["rows"], unsure), F.lit(False))
+    return let(parsed, lambda p: F.coalesce(unsure(p["fields"]), F.lit(False)) | F.coalesce(F.exists(p["rows"], unsure), F.lit(False)))
 
 
 def contract_problems(record: Column) -> Column:

@@ -1,10 +1,15 @@
-"""Queries against their SQL over tables that hold what the given ones don't."""
+"""Queries against their SQL over tables that hold what the given ones don't, and the short ways of common texts against the long ones."""
 
+from pyspark.sql import functions as F
+
+from paperlane.config import ColumnSpec, TabularOptions
+from paperlane.functions import text as T, values as V
 from paperlane.functions.text import lines_of
 from paperlane.queries import ORACLE, QUERIES
-from pyspark.sql import functions as F
 from tests.oracle import compare
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_line_scan_of_other_line_borders(spark, tmp_path):
     texts = ["", "\n", "\n\n", "a", "a\n", "a\n\n", "a\r\nb", "a\rb\r", "\r", "a\x0bb", "a\x0cb\x0c", "a\x1cb\x1dc\x1ed", "a\x85b", "a b ", " \n ", None, "a\nb\r\n\r\nc"]
@@ -15,3 +20,12 @@ def test_line_scan_of_other_line_borders(spark, tmp_path):
     # what is read from files keeps every line border of Python
     got = docs.filter("text is not null").select("text", lines_of(F.col("text")).alias("l")).collect()
     assert [r.l for r in got] == [r.text.splitlines() for r in got]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_json_is_made_and_parsed_once(spark):
+    plan = _plan(QUERIES["wire_needs_human"](spark, SF))
+    assert plan.count("from_json") == 1, plan.count("from_json")
