@@ -196,7 +196,7 @@ def interpret_cell(raw: Column, spec: ColumnSpec | FieldSpec, options: TabularOp
 
     out = let(F.struct(*[v.alias(k) for k, v in parts.items()]), of)
     if kind in ("number", "integer") and not human_only and native is None and unreadable is None:
-        plain = raw.try_cast("double")
+        plain = (F.replace(raw, F.lit(","), F.lit(".")) if kind == "number" and options.decimal_separator == "," else raw).try_cast("double")
         known = confirmed("integer", plain.cast("decimal(38,0)"), source) if kind == "integer" else confirmed("number", plain, source)
         return F.when(F.regexp_like(raw, F.lit(_plain_pattern(kind == "integer", options))), known).otherwise(out)
     return out
@@ -205,6 +205,8 @@ def interpret_cell(raw: Column, spec: ColumnSpec | FieldSpec, options: TabularOp
 def _plain_pattern(integer: bool, options: TabularOptions) -> str:
     """Cells that are a number by every rule as they stand, which most are: these need no reading of signs and groups."""
     digits = "-?[0-9]{1,15}"
+    if not integer and options.decimal_separator == "," and "," not in options.group_separators:
+        return rf"^{digits}(,[0-9]{{1,9}})?$"
     if integer or "." in options.group_separators or options.decimal_separator == ",":
         return f"^{digits}$"
     return rf"^{digits}(\.[0-9]{{1,9}})?$" if options.decimal_separator == "." else rf"^{digits}(\.([0-9]{{1,2}}|[0-9]{{4,9}}))?$"

@@ -24,8 +24,9 @@ def split_unit(header: Column, brackets: tuple[tuple[str, str], ...]) -> Column:
         out = F.struct(plain.alias("label"), F.lit(None).cast("string").alias("unit"))
         for a, b in reversed(brackets):
             pattern = rf"(?s)^(.+){re.escape(a)}([^{re.escape(a)}]*){re.escape(b)}$"
-            label, unit = strip(F.regexp_extract(plain, pattern, 1)), strip(F.regexp_extract(plain, pattern, 2))
-            out = F.when((label != "") & (unit != ""), F.struct(label.alias("label"), unit.alias("unit"))).otherwise(out)
+            parts = F.struct(strip(F.regexp_extract(plain, pattern, 1)).alias("label"), strip(F.regexp_extract(plain, pattern, 2)).alias("unit"))
+            split = let(parts, lambda p: F.when((p["label"] != "") & (p["unit"] != ""), p))
+            out = F.coalesce(F.when(plain.endswith(b), split), out)
         return out
 
     return let(strip(header), of)

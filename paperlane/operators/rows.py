@@ -58,14 +58,18 @@ def limited(rows: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame]:
     return seen.filter(read & ~F.col("blank")).drop("unread"), counts
 
 
-def interpreted(rows: DataFrame, schema: TableSchema, options: TabularOptions, human_only: tuple[str, ...] = (), locator: str = "R%dC%d") -> DataFrame:
-    """``rows`` with a struct ``values`` of one extracted value for each declared column that its file has, and ``needs_human``."""
+def interpreted(rows: DataFrame, schema: TableSchema, options: TabularOptions, human_only: tuple[str, ...] = (), locator: str = "R%dC%d", typed: bool = True) -> DataFrame:
+    """``rows`` with a struct ``values`` of one extracted value for each declared column that its file has, and ``needs_human``.
+
+    Without ``typed`` all cells are text, as those of delimited files are, and are read as such.
+    """
     items = []
     for c in schema.columns:
         at, cell = F.try_element_at("columns", F.lit(c.key)), cell_of(c.key)
         place = F.format_string(locator, F.col("row_no"), at + 1)
         proof = F.struct(F.col("relative_path").alias("relative_path"), F.col("content_hash").alias("content_hash"), place.alias("locator")).cast(EVIDENCE)
-        value = interpret_cell(cell["raw"], c, options, proof, human_only=bool(c.field_type) and c.field_type in human_only, native=cell["native"], unreadable=cell["unreadable"])
+        source = {"native": cell["native"], "unreadable": cell["unreadable"]} if typed else {}
+        value = interpret_cell(cell["raw"], c, options, proof, human_only=bool(c.field_type) and c.field_type in human_only, **source)
         items.append(F.when(at.isNotNull(), value).alias(c.key))
     done = rows.withColumn("values", F.struct(*items))
     sure = [F.coalesce(needs_human(F.col(f"values.`{c.key}`")), F.lit(False)) for c in schema.columns]

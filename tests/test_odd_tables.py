@@ -26,6 +26,21 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_table_is_bound_once_for_each_result(spark):
+    rows, files = (_plan(QUERIES[q](spark, SF)) for q in ("table_rows", "table_files"))
+    bound = "required_column_missing: code"
+    assert rows.count(bound) == 1 and files.count(bound) <= 2, (rows.count(bound), files.count(bound))
+
+
 def test_json_is_made_and_parsed_once(spark):
     plan = _plan(QUERIES["wire_needs_human"](spark, SF))
     assert plan.count("from_json") == 1, plan.count("from_json")
+
+
+def test_plain_cells_with_a_decimal_comma(spark):
+    rows = spark.createDataFrame([(c,) for c in ["1,5", "-0,25", "12,345", "123456789012345,123456789", "1,2,3", ",5", "1,", "1.234,5", "-7", "1 234,5", "+1,5"]], "c string")
+    for groups in (" '", " ."):
+        options, spec = TabularOptions(decimal_separator=",", group_separators=groups), ColumnSpec("n", ("N",), "number")
+        fast, slow = V.interpret_cell(F.col("c"), spec, options), V.interpret_cell(F.col("c"), spec, options, unreadable=F.lit(None).cast("string"))
+        for r in rows.select("c", fast.alias("a"), slow.alias("b")).collect():
+            assert r.a == r.b, (r, options)
