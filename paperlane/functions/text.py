@@ -10,9 +10,16 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from paperlane.model import let
+
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same characters one by one, for ``btrim``; those below 128 form a class that Java looks up in a table.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_ASCII_SPACE = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-LABEL_SEPARATORS = r":\-\u2013\u2014=."
+LABEL_SEPARATORS = ":-\u2013\u2014=."
+#: Where Latin letters with marks and combining marks end.
+LATIN_END = 0x370
 #: Single code points that fold to several, of Latin scripts and common typography; ``exact`` folds them all.
 EXPANDED = {c: unicodedata.normalize("NFKD", c).casefold() for c in "ßẞﬀﬁﬂﬃﬄﬅﬆĳĲŉ…½¼¾™№₨℀℃ǆǉǌ"}
 
@@ -40,6 +47,15 @@ def _table(folded: bool = True) -> tuple[str, str]:
     return "".join(c for c, _ in one) + "".join(g for g in gone if ord(g) < 0x10000), "".join(p for _, p in one)
 
 
+@cache
+def _small_table() -> tuple[str, str]:
+    """The part of ``_table`` below ``LATIN_END``: comparing and searching the whole table is what folding a line costs."""
+    source, target = _table()
+    one = [(a, b) for a, b in zip(source, target) if ord(a) < LATIN_END]
+    gone = [c for c in source[len(target) :] if ord(c) < LATIN_END]
+    return "".join(a for a, _ in one) + "".join(gone), "".join(b for _, b in one)
+
+
 @cache
 def _cases() -> tuple[str, str, dict[str, str]]:
     """Code points that casefolding makes one other, what they become, and those that it makes several."""
@@ -60,17 +76,23 @@ def _jamo(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), of), "")
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    """White space as single blanks; ASCII texts that have no other, as most do, are only stripped."""
+    plain = is_ascii(text) & ~F.contains(text, F.lit("  ")) & ~F.regexp_like(text, F.lit(f"[{_ASCII_SPACE}]"))
+    return strip(F.when(plain, text).otherwise(F.regexp_replace(text, f"[{SPACE}]+", " ")))
 
 
 def is_blank(text: Column) -> Column:
     """Null, empty or nothing but white space."""
-    return text.isNull() | ~F.regexp_like(text, F.lit(f"[^{SPACE}]"))
+    return text.isNull() | (F.ltrim(text, F.lit(SPACES)) == "")
 
 
 def normalize(text: Column, how: str = "native") -> Column:
@@ -82,12 +104,19 @@ def normalize(text: Column, how: str = "native") -> Column:
             return pa.array([None if t is None else fold(t) for t in texts.to_pylist()], pa.string())
 
         return run(text)
-    source, target = _table()
-    out = F.translate(text, source, target)
-    for char, plain in EXPANDED.items():
-        out = F.replace(out, F.lit(char), F.lit(plain))
+    out = _expanded(F.translate(text, *_table()), EXPANDED)
+    few = {c: p for c, p in EXPANDED.items() if ord(c) < LATIN_END}
+    has_few = F.regexp_like(text, F.lit("[" + "".join(few) + "]"))
+    latin = let(F.translate(text, *_small_table()), lambda t: F.when(has_few, _expanded(t, few)).otherwise(t))
+    is_latin = ~F.regexp_like(text, F.lit(rf"[^\x00-\x{{{LATIN_END - 1:X}}}]"))
     korean = F.regexp_like(text, F.lit(r"[\x{AC00}-\x{D7A3}]"))
-    return collapse(F.when(korean, _jamo(out)).when(F.regexp_like(text, F.lit(r"[^\x00-\x7f]")), out).otherwise(F.lower(text)))
+    return let(F.when(is_ascii(text), F.lower(text)).when(is_latin, latin).when(korean, _jamo(out)).otherwise(out), collapse)
+
+
+def _expanded(text: Column, several: dict[str, str]) -> Column:
+    for char, plain in several.items():
+        text = F.replace(text, F.lit(char), F.lit(plain))
+    return text
 
 
 def casefold(text: Column) -> Column:
@@ -98,7 +127,7 @@ def casefold(text: Column) -> Column:
     for char, plain in several.items():
         long = F.replace(long, F.lit(char), F.lit(plain))
     has_long = F.regexp_like(text, F.lit("[" + "".join(several) + "]"))
-    return F.when(has_long, long).when(F.regexp_like(text, F.lit(r"[^\x00-\x7f]")), out).otherwise(F.lower(text))
+    return F.when(is_ascii(text), F.lower(text)).when(has_long, long).otherwise(out)
 
 
 def without_marks(text: Column) -> Column:
@@ -114,7 +143,9 @@ def label_pattern(needle: str) -> str:
 
 def label_position(line: Column, needle: str) -> Column:
     """Where a normalised label stands as a word in a normalised line, from 0; -1 where it doesn't."""
-    return F.regexp_instr(line, F.lit(label_pattern(needle))) - 1
+    begins = line.startswith(needle) & F.substring(line, len(needle) + 1, 1).isin("", " ", ":", "-", "=", ".")
+    found = F.when(begins, 0).otherwise(F.regexp_instr(line, F.lit(label_pattern(needle))) - 1)  # most labels begin their line
+    return F.when(F.contains(line, F.lit(needle)), found).when(line.isNotNull(), -1)
 
 
 def lines_of(text: Column) -> Column:
@@ -144,7 +175,7 @@ def value_after(line: Column, normal: Column, label: Column, needle: Column) ->
     same = F.substring(plain, at + F.length(needle), F.length(line))
     other = F.when(lowered > 0, F.substring(line, lowered + F.length(label), F.length(line))).otherwise("")
     tail = F.when(at == 0, "").when(F.length(normal) == F.length(plain), same).otherwise(other)
-    return strip(F.regexp_replace(strip(tail), f"^[{LABEL_SEPARATORS}]+", ""))
+    return strip(F.ltrim(strip(tail), F.lit(LABEL_SEPARATORS)))
 
 
 def glob_pattern(glob: str) -> str:

@@ -11,8 +11,10 @@ from paperlane.model import CONFIRMED, REVIEW, extracted, let
 MATCH = "struct<profile_id:string,matched_required:array<string>,matched_optional:array<string>,missing_required:array<string>,score:int,eligible:boolean>"
 
 
-def haystack(lines: Column, how: str = "native") -> Column:
-    """All lines as one normalised text; an anchor may span lines."""
+def haystack(lines: Column, how: str = "native", normal: Column | None = None) -> Column:
+    """All lines as one normalised text; an anchor may span lines.  ``normal`` are the lines normalised, if they are at hand."""
+    if normal is not None:
+        return F.array_join(F.filter(normal, lambda n: n != ""), " ")
     return normalize(F.array_join(lines, "\n"), how)
 
 

@@ -30,8 +30,9 @@ def _length(used: Column, spec: FieldSpec) -> Column:
     return F.coalesce(F.element_at(F.array(*[F.lit(len(fold(x))) for x in spec.labels]), used + 1), F.lit(0))
 
 
-def claims(lines: Column, specs: tuple[FieldSpec, ...], how: str = "native") -> Column:
-    """For each line a struct: normal, used (label number of each field, null) and best (length of the longest label there)."""
+def claims(lines: Column, specs: tuple[FieldSpec, ...], how: str = "native", normal: Column | None = None) -> Column:
+    """For each line a struct: normal, used (label number of each field, null) and best (length of the longest label there); ``normal`` are the lines normalised, if they are at hand."""
+    normals = F.transform(lines, lambda x: normalize(x, how)) if normal is None else normal
 
     def used(normal: Column) -> Column:
         return F.struct(normal.alias("normal"), F.array(*[label_used(normal, s) for s in specs]).alias("used"))
@@ -43,7 +44,7 @@ def claims(lines: Column, specs: tuple[FieldSpec, ...], how: str = "native") ->
     def best(c: Column) -> Column:
         return F.struct(c["normal"].alias("normal"), c["used"].alias("used"), c["sizes"].alias("sizes"), F.array_max(c["sizes"]).alias("best"))
 
-    return F.transform(F.transform(F.transform(F.transform(lines, lambda x: normalize(x, how)), used), sized), best)
+    return F.transform(F.transform(F.transform(normals, used), sized), best)
 
 
 def hits(lines: Column, claimed: Column, k: int, spec: FieldSpec) -> Column:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlane.config import Rule
-from paperlane.model import MISSING, REVIEW, append_note, changed, extracted, has_value, numeric
+from paperlane.model import MISSING, REVIEW, append_note, changed, extracted, has_value, let, numeric
 
 NEAR_ZERO = 1e-12
 OUTCOME = "struct<rule_name:string,status:string,detail:string>"
@@ -45,15 +45,21 @@ def number_text(x: Column) -> Column:
     Of numbers from a million on, one exactly between two others may take the other.
     """
     shown = lambda pattern: F.call_function("format_number", x, F.lit(pattern))
-    scientific = shown("0.#####E0")
-    size = F.substring_index(scientific, "E", -1).try_cast("int")
-    small = F.lpad(F.abs(size).cast("string"), 2, "0")
-    exponent = F.concat(F.when(size < 0, "e-").otherwise("e+"), F.when(F.abs(size) < 100, small).otherwise(F.abs(size).cast("string")))
+
+    def long(scientific: Column) -> Column:
+        parts = F.struct(F.substring_index(scientific, "E", 1).alias("digits"), F.substring_index(scientific, "E", -1).try_cast("int").alias("size"))
+        return let(parts, lambda c: sized(c["digits"], c["size"]))
+
+    def sized(digits: Column, size: Column) -> Column:
+        exponent = F.concat(F.when(size < 0, "e-").otherwise("e+"), F.when(F.abs(size) < 100, F.lpad(F.abs(size).cast("string"), 2, "0")).otherwise(F.abs(size).cast("string")))
+        out = F.when(size < -4, F.concat(digits, exponent))
+        for k in range(-4, 6):
+            out = out.when(size == k, shown("0." + "#" * (5 - k) if k < 5 else "0"))
+        return out.otherwise(F.concat(digits, exponent))
+
     out = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, F.when(x.cast("string").startswith("-"), "-0").otherwise("0"))
     out = out.when((F.abs(x) < 1e6) & (x % 1 == 0), x.try_cast("bigint").cast("string"))  # most are
-    for k in range(-4, 6):
-        out = out.when(size == k, shown("0." + "#" * (5 - k) if k < 5 else "0"))
-    return out.otherwise(F.concat(F.substring_index(scientific, "E", 1), exponent))
+    return out.when(x.isNotNull(), let(shown("0.#####E0"), long))
 
 
 def flagged(item: Column, note: Column) -> Column:

@@ -37,6 +37,24 @@ def test_json_is_made_and_parsed_once(spark):
     assert plan.count("from_json") == 1, plan.count("from_json")
 
 
+def test_lines_are_normalised_once_for_detection_and_all_profiles(spark):
+    plan = _plan(QUERIES["analyze_orders"](spark, SF))
+    assert plan.count("lower(lambda") == 1 and "array_join(lines" not in plan, plan.count("lower(lambda")
+
+
+def test_white_space_is_what_python_says(spark):
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()] + ["​", "\x00", "\x7f"]
+    texts = ["", "a", "  ", "a b", "a  b"] + [t for c in spaces for t in (c, f"{c}a", f"a{c}", f"a{c}b", f"é{c}{c}b{c}", f"{c}{c}", f"a {c}b")]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip(F.col("t")).alias("s"), T.collapse(F.col("t")).alias("c"), T.is_blank(F.col("t")).alias("b")).collect()
+    assert [(r.s, r.c, r.b) for r in got] == [(r.t.strip(), " ".join(r.t.split()), not r.t.strip()) for r in got]
+
+
+def test_labels_are_words_wherever_they_stand(spark):
+    cases = {"tax: 1": 0, "tax": 0, "tax1": -1, "taxes, tax": 7, "a tax.": 2, "no": -1, "tax-": 0, "taxé": -1, "taxi tax": 5, "tax_1": 0}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", T.label_position(F.col("t"), "tax").alias("at")).collect()
+    assert {r.t: r["at"] for r in got} == cases
+
+
 def test_plain_cells_with_a_decimal_comma(spark):
     rows = spark.createDataFrame([(c,) for c in ["1,5", "-0,25", "12,345", "123456789012345,123456789", "1,2,3", ",5", "1,", "1.234,5", "-7", "1 234,5", "+1,5"]], "c string")
     for groups in (" '", " ."):
